@@ -142,16 +142,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the steps as a DataFrame; each step is a narrow projection of its table."""
-    steps = dict(_steps())
-    if name == "dupes":
-        return spark.sql(steps[name].replace("FROM customer", "FROM {src}"),
-                         src=table(spark, sf_dir, "customer"))
-    df = spark.sql(steps["numbered"].replace("FROM pages", "FROM {src}"),
-                   src=table(spark, sf_dir, "pages"))
-    for step, before in (("hosted", "numbered"), ("placed", "hosted")):
-        df = spark.sql(steps[step].replace(f"FROM {before}", "FROM {src}"), src=df)
-    return spark.sql(steps[name].replace("FROM placed", "FROM {src}"), src=df)
+    """One of the steps as a DataFrame; all of them are projections of a single table."""
+    source = "customer" if name == "dupes" else "pages"
+    steps = ", ".join(f"{step} AS ({sql})" for step, sql in _steps()
+                      if (step == "dupes") == (name == "dupes"))
+    return spark.sql(
+        f"WITH {source} AS (SELECT * FROM {{src}}), {steps} SELECT * FROM {name}",
+        src=table(spark, sf_dir, source),
+    )
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

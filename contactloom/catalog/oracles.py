@@ -222,33 +222,53 @@ labels AS (SELECT t.url, CASE WHEN coalesce(arg_min(r.allow, r.rule_idx), TRUE)
 _LISTED = """
 listed AS (SELECT 'q' || CAST(page_id % 25 AS VARCHAR) AS query, page_id AS seq,
   CASE page_id % 4 WHEN 0 THEN 'Shop No. ' || CAST(page_id AS VARCHAR) END AS url_name,
+  CASE WHEN page_id % 4 < 2 THEN 'https://maps.example.com' ELSE
+    regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) END AS place_base,
   regexp_extract(html, '<title>([^<]*)</title>', 1) AS title_text, html FROM pages)"""
-"""``Results`` from a place URL is no name."""
 
-_SPACES = f"'{S}+'"
 
-
-def _flat(expr: str) -> str:
-    """Element text on one line, markup characters decoded."""
-    out = f"regexp_replace({expr}, '<[^>]*>', '', 'g')"
+def _decoded(expr: str) -> str:
+    """Character references of the raw pages, decoded."""
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&amp;", "&")):
-        out = f"replace({out}, '{entity}', '{char}')"
-    return f"trim(regexp_replace({out}, {_SPACES}, ' ', 'g'))"
+        expr = f"replace({expr}, '{entity}', '{char}')"
+    return expr
 
 
-_GREEDY = f"""
-{with_clause('dupes')},
+def _lines(expr: str) -> str:
+    """Visible text: block tags end lines, other tags vanish, white space collapses per line."""
+    blocks = "article|blockquote|body|br|button|div|h[1-6]|header|hr|li|main|nav|ol|p|section|table|td|th|tr|ul"
+    out = f"regexp_replace({expr}, '<!--.*?-->', '', 'gs')"
+    out = f"regexp_replace({out}, '</?(?:{blocks})(?:\\s[^>]*)?>', chr(10), 'g')"
+    out = _decoded(f"regexp_replace({out}, '</?[a-z][^>]*>', '', 'g')")
+    out = f"regexp_replace({out}, '[ \\t\\r\\f]+', ' ', 'g')"
+    return f"trim(regexp_replace({out}, ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
+
+
+_RECORDS = f"""
+{_LISTED},
+texts AS (SELECT *, {_lines("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")} AS h1,
+  regexp_extract(html, '<a href="([^"]*)">', 1) AS href,
+  {_lines("regexp_extract(html, '<body>(.*)$', 1, 's')")} AS body FROM listed),
+records AS (SELECT query, seq, coalesce(url_name, h1) AS name, place_base || href AS website,
+  nullif(regexp_extract(body, '{PHONE}'), '') AS phone_number FROM texts)"""
+
+
+def _greedy(source: str) -> str:
+    """Sequential keep-first over ``source``: one step per row of a query, all queries at once."""
+    return f"""
 keyed AS (SELECT query, seq, nullif(lower(website), '') AS site,
   nullif(translate(phone_number, ' -()', ''), '') AS phone,
-  row_number() OVER (PARTITION BY query ORDER BY seq) AS n FROM dupes),
+  row_number() OVER (PARTITION BY query ORDER BY seq) AS n FROM {source}),
 walk AS (
   SELECT DISTINCT query, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, FALSE AS keep,
     CAST([] AS VARCHAR[]) AS sites, CAST([] AS VARCHAR[]) AS phones FROM keyed
   UNION ALL
-  SELECT query, n, seq, NOT dup, CASE WHEN dup OR site IS NULL THEN sites ELSE list_append(sites, site) END,
+  SELECT query, n, seq, NOT dup,
+    CASE WHEN dup OR site IS NULL THEN sites ELSE list_append(sites, site) END,
     CASE WHEN dup OR phone IS NULL THEN phones ELSE list_append(phones, phone) END
   FROM (SELECT w.query, k.n, k.seq, k.site, k.phone, w.sites, w.phones,
-      coalesce(list_contains(w.sites, k.site), FALSE) OR coalesce(list_contains(w.phones, k.phone), FALSE) AS dup
+      coalesce(list_contains(w.sites, k.site), FALSE)
+        OR coalesce(list_contains(w.phones, k.phone), FALSE) AS dup
     FROM walk w JOIN keyed k ON k.query = w.query AND k.n = w.n + 1))"""
 
 
@@ -309,12 +329,22 @@ SELECT doc_id, channel AS channel_ord, email FROM hits WHERE channel > 1""",
 {_DECO}, {DECO_HITS} SELECT i, channel AS channel_ord,
   row_number() OVER (PARTITION BY i ORDER BY channel, idx) - 1 AS pos, email FROM hits""",
     "emails_mailto": f"{_DECO}, anchors AS ({_links('deco', 'i')}) {_MAILTO}",
+    "emails_script_concat": f"""
+{_DECO} SELECT i, 'u' || CAST(i AS VARCHAR) || '@shop.org' AS email FROM deco""",
     "business_rule": f"""
 {_DECO}, {DECO_HITS} SELECT DISTINCT email, {BUSINESS} AS business FROM hits""",
     "page_fallback": f"""
 {_PAGES}
 SELECT d.i, coalesce(string_agg(m.email, ' ' ORDER BY m.pos), '') AS emails
 FROM deco d LEFT JOIN page_mail m ON m.i = d.i GROUP BY d.i""",
+    "element_list": f"""
+WITH found AS (SELECT url, unnest(ms) AS m, generate_subscripts(ms, 1) - 1 AS pos FROM (
+  SELECT url, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>|<script>.*?</script>', 0, 's') AS ms
+  FROM pages))
+SELECT url AS page_url, pos, CASE WHEN m LIKE '<a%' THEN 'a' ELSE 'script' END AS tag,
+  CASE WHEN m LIKE '<a%' THEN regexp_extract(m, '"([^"]*)"', 1) END AS href,
+  CASE WHEN m LIKE '<a%' THEN {_decoded("regexp_extract(m, '>([^<]*)<', 1)")}
+    ELSE regexp_extract(m, '<script>(.*)</script>', 1, 's') END AS text FROM found""",
     "link_list": f"""
 WITH anchors AS ({_links('pages', 'url')})
 SELECT url AS page_url, idx - 1 AS pos, href, text, {_resolved('url')} AS full_url FROM anchors""",
@@ -364,10 +394,19 @@ SELECT doc_id, nullif(regexp_extract(text, '{PHONE}'), '') AS phone FROM documen
 WITH {_LISTED}
 SELECT query, seq FROM listed WHERE query NOT IN (SELECT query FROM listed
   WHERE seq % 50 = 7 OR contains(lower(html), 'captcha'))""",
+    "listing_records": f"WITH {_RECORDS} SELECT query, seq, name, website, phone_number FROM records",
+    "search_run": f"""
+WITH RECURSIVE {_RECORDS}, {_greedy('records')}
+SELECT query, seq, name, website, phone_number FROM (
+  SELECT r.*, row_number() OVER (PARTITION BY r.query ORDER BY r.seq) AS n
+  FROM records r JOIN walk w ON w.query = r.query AND w.seq = r.seq WHERE w.keep) WHERE n <= 8""",
+    "result_cards": f"""
+SELECT CAST(page_id AS VARCHAR) AS query, generate_subscripts(ms, 1) - 1 AS pos, {_lines('unnest(ms)')} AS text
+FROM (SELECT page_id, regexp_extract_all(html, '<div class="ad">(.*?)</div>', 1, 's') AS ms FROM pages)""",
     "dedupe_website": _keep_first("nullif(lower(website), '')"),
     "dedupe_phone": _keep_first("nullif(translate(phone_number, ' -()', ''), '')"),
     "dedupe_greedy": f"""
-{_GREEDY} SELECT d.query, d.seq, d.name, d.website, d.phone_number
+{with_clause('dupes')}, {_greedy('dupes')} SELECT d.query, d.seq, d.name, d.website, d.phone_number
 FROM dupes d JOIN walk w ON w.query = d.query AND w.seq = d.seq WHERE w.keep""",
     "skip_known": f"""
 {_BIZ}, {_KNOWN} SELECT query, seq, website,
@@ -387,6 +426,9 @@ FROM dupes""",
 {_CONTACTS} SELECT query, count(*) AS businesses, count(DISTINCT website) AS websites,
   count(CASE WHEN len(emails) > 0 THEN 1 END) AS with_emails, CAST(sum(len(emails)) AS BIGINT) AS emails
 FROM contacts GROUP BY query""",
+    "combined_results": f"""
+{_CONTACTS} SELECT query, seq, name, website, CASE WHEN NOT skipped THEN phone_number END AS phone_number,
+  skipped FROM contacts""",
     "flat_contacts": f"""
 {_CONTACTS} SELECT query, seq, name, website, phone_number, {_FLAT_LIST} AS email_addresses, skipped
 FROM contacts""",

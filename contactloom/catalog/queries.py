@@ -153,10 +153,21 @@ def emails_all_channels(spark, sf_dir):
 
 @register
 def emails_mailto(spark, sf_dir):
-    elements = fx.pages(spark, sf_dir).select("i", page_elements("html").alias("elements"))
+    elements = fx.pages(spark, sf_dir).select("i", page_elements("url", "html").alias("elements"))
     return elements.select("i", F.posexplode(mailto_emails(F.col("elements"))).alias("pos", "email"))
 
 
+@register
+def emails_script_concat(spark, sf_dir):
+    """Every page gets a script that builds an address from pieces; needs the opt-in channel."""
+    pages = fx.pages(spark, sf_dir).withColumn(
+        "html",
+        F.expr("html || '<script>var e=\\'u' || i || '\\' + \"@\" + \"shop\" + \".org\"</script>'"),
+    )
+    found = extract_emails(pages, keep=("i",), settings=Settings(js_concat=True))
+    return found.filter("channel_ord = 8").select("i", "email")
+
+
 @register
 def business_rule(spark, sf_dir):
     found = extract_emails(fx.pages(spark, sf_dir), keep=("i",)).select("email").distinct()
@@ -416,6 +427,15 @@ def query_counts(spark, sf_dir):
     return report.run_counts(_contacts(spark, sf_dir))
 
 
+@register
+def combined_results(spark, sf_dir):
+    """Crawled rows lack the flag, skipped rows lack the phone number."""
+    rows = _contacts(spark, sf_dir).drop("email_addresses")
+    crawled = rows.filter("NOT skipped").drop("skipped")
+    skipped = rows.filter("skipped").drop("phone_number")
+    return report.combine_results(crawled, skipped)
+
+
 @register
 def flat_contacts(spark, sf_dir):
     return report.flatten_contacts(_contacts(spark, sf_dir))

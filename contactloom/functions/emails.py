@@ -1,4 +1,7 @@
-"""E-mail predicates and the text channels, as column expressions."""
+"""E-mail predicates and the channels of a page, as column expressions.
+
+The text channels return candidates; callers keep those that pass ``has_email_shape``.
+"""
 
 from __future__ import annotations
 
@@ -46,7 +49,7 @@ def at_marker_emails(text: Column, strict: bool = False) -> Column:
         out = replace_literals(match, fv.AT_LITERALS, "@")
         return drop_spaces(replace_spaced_words(out, fv.AT_WORDS, "@"))
 
-    return _shaped(found, clean)
+    return F.transform(found, clean)
 
 
 def dot_marker_emails(text: Column, strict: bool = False) -> Column:
@@ -59,7 +62,7 @@ def dot_marker_emails(text: Column, strict: bool = False) -> Column:
         out = replace_literals(match, fv.DOT_LITERALS, ".")
         return drop_spaces(replace_spaced_words(out, fv.DOT_WORDS, "."))
 
-    return _shaped(found, clean)
+    return F.transform(found, clean)
 
 
 def entity_emails(text: Column, lenient: bool = False) -> Column:
@@ -74,7 +77,7 @@ def entity_emails(text: Column, lenient: bool = False) -> Column:
         out = replace_literals(match, ("&#64;", "&#064;"), "@")
         return drop_spaces(replace_literals(out, ("&#46;", "&#046;"), "."))
 
-    return _shaped(found, clean)
+    return F.transform(found, clean)
 
 
 def escape_emails(text: Column) -> Column:
@@ -86,7 +89,7 @@ def escape_emails(text: Column) -> Column:
         out = replace_literals(match, ("\\u0040", "\\x40"), "@")
         return drop_spaces(replace_literals(out, ("\\u002E", "\\x2E"), "."))
 
-    return _shaped(found, clean)
+    return F.transform(found, clean)
 
 
 def attribute_emails(elements: Column) -> Column:
@@ -154,7 +157,3 @@ def _run(rest: str) -> str:
 def _two_marks(at: str, dot: str) -> str:
     token = rf"{fv.SPACE}*{fv.TOKEN_CHAR}+"
     return rf"{at}{token}{fv.SPACE}*{dot}{token}"
-
-
-def _shaped(found: Column, clean) -> Column:
-    return F.filter(F.transform(found, clean), has_email_shape)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -32,6 +33,7 @@ _ELEMENTS = pa.list_(
             ("tag", pa.string()),
             ("attrs", pa.map_(pa.string(), pa.string())),
             ("text", pa.string()),
+            ("target", pa.string()),
         ]
     )
 )
@@ -131,7 +133,7 @@ class _ListingWalker(_Walker):
             node["kind"] = node["attrs"].get("class", "")
 
 
-def _page_elements(html: str | None):
+def _page_elements(url: str | None, html: str | None):
     if html is None:
         return None
     try:
@@ -144,12 +146,22 @@ def _page_elements(html: str | None):
             "tag": node["tag"],
             "attrs": [(k, node["attrs"][k]) for k in _KEPT_ATTRS if k in node["attrs"]],
             "text": page.text_of(node),
+            "target": _resolved(url, node["attrs"].get("href")),
         }
         for pos, node in enumerate(page.picked)
     ]
 
 
-def _listing_parts(html: str | None):
+def _resolved(url: str | None, href: str | None) -> str | None:
+    if url is None or href is None:
+        return None
+    try:
+        return urljoin(url, href)
+    except ValueError:  # not a URL in any reading
+        return None
+
+
+def _listing_parts(url: str | None, html: str | None):
     if html is None:
         return None
     try:
@@ -164,7 +176,11 @@ def _listing_parts(html: str | None):
     def texts(*tags):
         return [text for tag, _, text in nodes if tag in tags]
 
-    anchors = [(attrs, text) for tag, attrs, text in nodes if tag == "a"]
+    anchors = [
+        ({**attrs, "href": _resolved(url or "", attrs.get("href"))}, text)
+        for tag, attrs, text in nodes
+        if tag == "a"
+    ]
     buttons = [(attrs, text) for tag, attrs, text in nodes if tag == "button"]
     fonts = [(attrs["class"], text) for tag, attrs, text in nodes if tag == "div"]
     large = ("fontHeadlineLarge", "fontTitleLarge")
@@ -175,12 +191,12 @@ def _listing_parts(html: str | None):
         "prominent": [text for _, text in fonts if "Results" not in text],
         "cards": texts("span"),
         "authority": first(
-            attrs.get("href") for attrs, _ in anchors if attrs.get("data-item-id") == "authority"
+            attrs["href"] for attrs, _ in anchors if attrs.get("data-item-id") == "authority"
         ),
         "website_link": first(
-            attrs.get("href") for attrs, text in anchors if "Website" in text or "website" in text
+            attrs["href"] for attrs, text in anchors if "Website" in text or "website" in text
         ),
-        "links": [attrs["href"] for attrs, _ in anchors if "href" in attrs],
+        "links": [attrs["href"] for attrs, _ in anchors if attrs["href"]],
         "phone_button": first(
             text for attrs, text in buttons if "phone:" in attrs.get("data-item-id", "")
         ),
@@ -190,9 +206,12 @@ def _listing_parts(html: str | None):
 
 
 @F.arrow_udf(from_arrow_type(_ELEMENTS))
-def page_elements(html: pa.Array) -> pa.Array:
-    """Anchors, scripts and elements with contact attributes, in document order."""
-    return pa.array([_page_elements(h) for h in html.to_pylist()], _ELEMENTS)
+def page_elements(url: pa.Array, html: pa.Array) -> pa.Array:
+    """Anchors, scripts and elements with contact attributes, in document order.
+
+    ``target`` is the link resolved against the page URL; a null URL skips that."""
+    pairs = zip(url.to_pylist(), html.to_pylist())
+    return pa.array([_page_elements(u, h) for u, h in pairs], _ELEMENTS)
 
 
 _LISTING = pa.struct(
@@ -213,9 +232,10 @@ _LISTING = pa.struct(
 
 
 @F.arrow_udf(from_arrow_type(_LISTING))
-def listing_parts(html: pa.Array) -> pa.Array:
-    """Candidate texts and links of a listing snapshot; null where it cannot be parsed."""
-    return pa.array([_listing_parts(h) for h in html.to_pylist()], _LISTING)
+def listing_parts(url: pa.Array, html: pa.Array) -> pa.Array:
+    """Candidate texts and absolute links of a listing snapshot; null where it cannot be parsed."""
+    pairs = zip(url.to_pylist(), html.to_pylist())
+    return pa.array([_listing_parts(u, h) for u, h in pairs], _LISTING)
 
 
 class _ResultsWalker(_Walker):

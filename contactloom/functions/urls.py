@@ -52,24 +52,6 @@ def domain_label(url: Column) -> Column:
     return F.when(F.size(labels) > 1, label)
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def resolve_links(base: pa.Array, hrefs: pa.Array) -> pa.Array:
-    """Absolute form of every href of a page; null where one cannot be parsed."""
-    from urllib.parse import urljoin
-
-    def resolve(url, href):
-        try:
-            return urljoin(url, href)
-        except ValueError:
-            return None
-
-    rows = zip(base.to_pylist(), hrefs.to_pylist())
-    return pa.array(
-        [None if links is None else [resolve(url, h) for h in links] for url, links in rows],
-        pa.list_(pa.string()),
-    )
-
-
 @F.arrow_udf(T.StringType())
 def place_name(segment: pa.Array) -> pa.Array:
     """Name written in a place URL: unescaped, pluses to blanks, every word capitalised."""

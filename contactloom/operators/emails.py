@@ -16,14 +16,15 @@ HITS = "array<struct<channel int, email string>>"
 
 def text_channels(text: Column, settings: Settings = Settings()) -> Column:
     """Hits of the five text channels, in channel order."""
-    channels = (
+    channels = F.array(
         e.plain_emails(text),
         e.at_marker_emails(text, settings.strict_words),
         e.dot_marker_emails(text, settings.strict_words),
         e.entity_emails(text, settings.lenient_entities),
         e.escape_emails(text),
     )
-    return F.concat(*(_tag(found, n) for n, found in enumerate(channels, 1)))
+    tagged = F.transform(channels, lambda found, n: _tag(found, n + 1))
+    return F.filter(F.flatten(tagged), lambda hit: e.has_email_shape(hit["email"]))
 
 
 def element_channels(html: Column, settings: Settings = Settings()) -> Column:
@@ -31,10 +32,10 @@ def element_channels(html: Column, settings: Settings = Settings()) -> Column:
     gate = needs_attributes(html)
     if settings.js_concat:
         gate = gate | html.rlike("(?i)<script")
-    elements = page_elements(F.when(gate, html))
+    elements = page_elements(F.lit(None).cast("string"), F.when(gate, html))
     hits = e.attribute_emails(elements)
     if settings.js_concat:
-        hits = F.concat(hits, _tag(e.script_emails(elements), 8))
+        hits = F.concat(hits, _tag(e.script_emails(elements), F.lit(8)))
     return F.coalesce(hits, F.array().cast(HITS))
 
 
@@ -57,7 +58,9 @@ def extract_emails(
 ) -> DataFrame:
     """One row per e-mail found: the kept columns, channel, position in the page, e-mail."""
     hits = with_hits(df.select(*keep, column), column, settings, elements)
-    return hits.select(*keep, F.posexplode("hits").alias("pos", "hit")).select(
+    # the outer form keeps the optimizer from testing, and so computing, the hits a second time
+    exploded = hits.select(*keep, F.posexplode_outer("hits").alias("pos", "hit"))
+    return exploded.filter("hit IS NOT NULL").select(
         *keep, F.col("hit.channel").alias("channel_ord"), "pos", F.col("hit.email").alias("email")
     )
 
@@ -86,7 +89,5 @@ def emails_by_document(pages: DataFrame, settings: Settings = Settings()) -> Dat
     )
 
 
-def _tag(found: Column, channel: int) -> Column:
-    return F.transform(
-        found, lambda email: F.struct(F.lit(channel).alias("channel"), email.alias("email"))
-    )
+def _tag(found: Column, channel: Column) -> Column:
+    return F.transform(found, lambda email: F.struct(channel.alias("channel"), email.alias("email")))

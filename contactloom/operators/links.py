@@ -10,26 +10,28 @@ from contactloom.fixed_values import Settings
 from contactloom.functions.emails import mailto_emails
 from contactloom.functions.html import has_anchor, page_elements
 from contactloom.functions.text import contains_any
-from contactloom.functions.urls import normalize_url, page_key, resolve_links
+from contactloom.functions.urls import normalize_url, page_key
 
 
 def html_elements(pages: DataFrame) -> DataFrame:
     """One row per anchor, script and element with contact attributes."""
-    parsed = pages.select("url", page_elements("html").alias("elements"))
-    return parsed.select(F.col("url").alias("page_url"), F.inline("elements"))
+    parsed = pages.select("url", page_elements(F.col("url"), F.col("html")).alias("elements"))
+    return parsed.select(F.col("url").alias("page_url"), F.inline_outer("elements")).filter(
+        "pos IS NOT NULL"
+    )
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """Anchors in document order: ``page_url, pos, href, text`` (lower case) and ``full_url``."""
-    return _with_links(pages).select(
-        F.col("url").alias("page_url"),
-        F.posexplode(F.arrays_zip("hrefs", "texts", "full")).alias("pos", "link"),
-    ).select(
+    exploded = _with_anchors(pages).select(
+        F.col("url").alias("page_url"), F.posexplode_outer("anchors").alias("pos", "link")
+    )
+    return exploded.filter("link IS NOT NULL").select(
         "page_url",
         "pos",
-        F.col("link.hrefs").alias("href"),
-        F.col("link.texts").alias("text"),
-        F.col("link.full").alias("full_url"),
+        F.col("link.attrs")["href"].alias("href"),
+        F.lower("link.text").alias("text"),
+        F.col("link.target").alias("full_url"),
     )
 
 
@@ -39,41 +41,34 @@ def followed_links(pages: DataFrame, settings: Settings = Settings()) -> DataFra
     The contact cap is applied before self links are dropped, the additional cap after.
     """
     home = normalize_url(F.col("url"))
-    linked = _with_links(pages).withColumn(
-        "links",
-        F.transform(
-            F.arrays_zip("hrefs", "texts", "full"),
-            lambda link: F.struct(
-                link["full"].alias("full"),
-                (
-                    contains_any(link["texts"], fv.CONTACT_KEYWORDS)
-                    | contains_any(F.lower(link["hrefs"]), fv.CONTACT_KEYWORDS)
-                ).alias("is_contact"),
-                contains_any(F.lower(link["hrefs"]), fv.ADDITIONAL_TERMS).alias("is_additional"),
-            ),
-        ),
-    ).withColumn(
-        "contact_all",
-        F.transform(F.filter("links", lambda link: link["is_contact"]), lambda link: link["full"]),
-    )
-    contact = F.filter(F.slice("contact_all", 1, settings.contact_cap), lambda full: full != home)
-    additional = F.filter(
-        "links",
-        lambda link: link["is_additional"]
-        & ~link["is_contact"]
-        & (link["full"] != home)
-        & ~F.array_contains(F.col("contact_all"), link["full"]),
+
+    def is_contact(link):
+        return contains_any(F.lower(link["text"]), fv.CONTACT_KEYWORDS) | contains_any(
+            F.lower(link["attrs"]["href"]), fv.CONTACT_KEYWORDS
+        )
+
+    def is_additional(link):
+        return (
+            contains_any(F.lower(link["attrs"]["href"]), fv.ADDITIONAL_TERMS)
+            & (link["target"] != home)
+            & ~F.array_contains(F.col("contact_all"), link["target"])
+        )
+
+    def targets(links):
+        return F.transform(links, lambda link: link["target"])
+
+    linked = _with_anchors(pages).withColumn(
+        "contact_all", targets(F.filter("anchors", is_contact))
     )
+    contact = F.filter(F.slice("contact_all", 1, settings.contact_cap), lambda url: url != home)
+    additional = F.slice(targets(F.filter("anchors", is_additional)), 1, settings.additional_cap)
     return linked.select(
         "url",
         "status",
         "fetched_at",
         F.coalesce(contact, _none()).alias("contact"),
-        F.coalesce(
-            F.slice(F.transform(additional, lambda link: link["full"]), 1, settings.additional_cap),
-            _none(),
-        ).alias("additional"),
-        F.coalesce(mailto_emails(F.col("elements")), _none()).alias("mailto"),
+        F.coalesce(additional, _none()).alias("additional"),
+        F.coalesce(mailto_emails(F.col("anchors")), _none()).alias("mailto"),
     )
 
 
@@ -93,17 +88,11 @@ def links_by_document(pages: DataFrame, settings: Settings = Settings()) -> Data
     )
 
 
-def _with_links(pages: DataFrame) -> DataFrame:
+def _with_anchors(pages: DataFrame) -> DataFrame:
     gated = F.when(has_anchor(F.col("html")), F.col("html"))
-    anchors = F.filter("elements", lambda e: (e["tag"] == "a") & e["attrs"]["href"].isNotNull())
-    return (
-        pages.withColumn("elements", page_elements(gated))
-        .drop("html")
-        .withColumn("anchors", anchors)
-        .withColumn("hrefs", F.transform("anchors", lambda a: a["attrs"]["href"]))
-        .withColumn("texts", F.transform("anchors", lambda a: F.lower(a["text"])))
-        .withColumn("full", resolve_links(normalize_url(F.col("url")), F.col("hrefs")))
-    )
+    elements = page_elements(normalize_url(F.col("url")), gated)
+    anchors = F.filter(elements, lambda e: (e["tag"] == "a") & e["attrs"]["href"].isNotNull())
+    return pages.withColumn("anchors", anchors).drop("html")
 
 
 def _none():

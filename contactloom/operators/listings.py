@@ -78,7 +78,9 @@ def listing_fields(listings: DataFrame, run_epoch: int) -> DataFrame:
     ``run_epoch`` (seconds) names businesses without any name. ``error`` is set where the snapshot
     could not be read.
     """
-    parsed = listings.select("query", "seq", "place_url", "title", listing_parts("html").alias("p"))
+    parsed = listings.select(
+        "query", "seq", "place_url", "title", listing_parts("place_url", "html").alias("p")
+    )
     first_of = _first_where
     name = F.coalesce(
         name_from_place_url(F.col("place_url")),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +66,12 @@ def run_counts(contacts: DataFrame) -> DataFrame:
     )
 
 
+def combine_results(*parts: DataFrame) -> DataFrame:
+    """Results with different columns as one table; ``skipped`` is false where it is missing."""
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return whole.withColumn("skipped", F.coalesce("skipped", F.lit(False)))
+
+
 def flatten_contacts(contacts: DataFrame) -> DataFrame:
     """E-mail list to one comma-separated string, as CSV and Excel need it."""
     return contacts.withColumn("email_addresses", F.array_join("email_addresses", ", "))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOT_MIN_ROWS = 100_000
+HOT_MIN_BYTES = 16 * 1024 * 1024
 HOT_SHARE = 1 / 1000
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -39,13 +40,23 @@ def fits_broadcast(df: DataFrame, *columns: str) -> bool:
     return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate; good enough to skip work that only pays on large inputs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def hot_keys(
     df: DataFrame,
     keys: Sequence[str],
     min_rows: int = HOT_MIN_ROWS,
     share: float = HOT_SHARE,
 ) -> DataFrame | None:
-    """Keys that hold more than ``share`` of the rows: at most ``1 / share`` of them exist."""
+    """Keys that hold more than ``share`` of the rows: at most ``1 / share`` of them exist.
+
+    None if the input is too small for hot keys to matter.
+    """
+    if min_rows >= HOT_MIN_ROWS and estimated_bytes(df) < HOT_MIN_BYTES:
+        return None
     total = df.count()
     if total <= min_rows:
         return None

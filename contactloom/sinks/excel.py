@@ -43,6 +43,7 @@ _PARTS = {
         'Target="worksheets/sheet1.xml"/></Relationships>'
     ),
 }
+_NAMES = ("query_hash", "run_ts")
 _XML = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 _SHEET = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
 
@@ -112,30 +113,30 @@ class ExcelDataSource(DataSource):
 class ExcelWriter(DataSourceWriter):
     """Rows arrive ordered by query; a new workbook starts with each query and at the sheet limit.
 
-    Helper column ``query_hash`` names the file and is not written as a cell.
+    Helper columns ``query_hash`` and ``run_ts`` name the file and are not written as cells.
     """
 
     def __init__(self, options, schema):
         self.folder = options["path"].rstrip("/")
-        self.stamp = options["stamp"]
         self.limit = int(options.get("sheetRows", SHEET_ROWS))
-        self.columns = [f.name for f in schema.fields if f.name != "query_hash"]
+        self.columns = [f.name for f in schema.fields if f.name not in _NAMES]
 
     def write(self, rows: Iterator) -> Written:
         files: list[str] = []
         book, current = None, None
 
         def close():
-            name = f"{self.folder}/{current}_{self.stamp}_{uuid.uuid4().hex[:12]}.xlsx"
+            name = f"{self.folder}/{'_'.join(current)}_{uuid.uuid4().hex[:12]}.xlsx"
             book.finish(name)
             files.append(name)
 
         for row in rows:
-            if book is not None and (row["query_hash"] != current or book.rows >= self.limit):
+            names = tuple(row[name] for name in _NAMES)
+            if book is not None and (names != current or book.rows >= self.limit):
                 close()
                 book = None
             if book is None:
-                book, current = _Workbook(self.columns), row["query_hash"]
+                book, current = _Workbook(self.columns), names
             book.add(row[name] for name in self.columns)
         if book is not None:
             close()

@@ -15,6 +15,7 @@ from contactloom.sinks.excel import ExcelDataSource
 from contactloom.sources.tables import history_source
 
 FORMATS = ("json", "csv", "excel")
+OUTPUT_NAMES = ("query_hash", "run_ts")
 
 
 def run_stamp(spark: SparkSession) -> str:
@@ -29,37 +30,21 @@ def with_output_names(contacts: DataFrame, stamp: str) -> DataFrame:
     )
 
 
-def _ordered(contacts: DataFrame) -> DataFrame:
-    """Result order inside files. Range partitions split a query that is too big for one task."""
-    return contacts.repartitionByRange("query", "seq").sortWithinPartitions("query", "seq")
-
-
 def write_json(contacts: DataFrame, path: str, stamp: str | None = None) -> None:
     """JSON lines, nulls written. With a stamp, one folder per query and run."""
-    _write(contacts, stamp).option("ignoreNullFields", "false").json(path)
+    _json(_ordered(contacts, stamp), path)
 
 
 def write_csv(
     contacts: DataFrame, path: str, stamp: str | None = None, empty_marker: bool = False
 ) -> None:
     """CSV with header. ``empty_marker`` writes a one-cell file where there are no rows."""
-    if empty_marker and contacts.isEmpty():
-        marker = contacts.sparkSession.range(1).select(F.lit(fv.EMPTY_MARKER).alias("value"))
-        marker.coalesce(1).write.mode("append").text(path)
-        return
-    writer = _write(flatten_contacts(contacts), stamp)
-    writer.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    _csv(_ordered(contacts, stamp), path, empty_marker)
 
 
 def write_excel(contacts: DataFrame, path: str, stamp: str | None = None) -> None:
     """Workbooks, one or more per query; each task writes its own."""
-    spark = contacts.sparkSession
-    spark.dataSource.register(ExcelDataSource)
-    stamp = stamp or run_stamp(spark)
-    named = flatten_contacts(contacts).withColumn("query_hash", md5_prefix(F.col("query")))
-    _ordered(named).write.format("contact_excel").mode("append").option("path", path).option(
-        "stamp", stamp
-    ).save()
+    _excel(_ordered(contacts, stamp or run_stamp(contacts.sparkSession)), path)
 
 
 def save(
@@ -73,19 +58,18 @@ def save(
     unknown = set(formats) - set(FORMATS)
     if unknown:
         raise ValueError(f"unknown formats: {sorted(unknown)}")
-    stamp = stamp or run_stamp(contacts.sparkSession)
-    contacts = contacts.persist()
+    ordered = _ordered(contacts, stamp or run_stamp(contacts.sparkSession)).persist()
+    paths = {name: f"{folder}/{name}" for name in formats}
     try:
-        paths = {name: f"{folder}/{name}" for name in formats}
         if "json" in paths:
-            write_json(contacts, paths["json"], stamp)
+            _json(ordered, paths["json"])
         if "csv" in paths:
-            write_csv(contacts, paths["csv"], stamp, empty_marker)
+            _csv(ordered, paths["csv"], empty_marker)
         if "excel" in paths:
-            write_excel(contacts, paths["excel"], stamp)
-        return paths
+            _excel(ordered, paths["excel"])
     finally:
-        contacts.unpersist()
+        ordered.unpersist()
+    return paths
 
 
 def update_history(crawled: DataFrame, path: str) -> None:
@@ -96,8 +80,36 @@ def update_history(crawled: DataFrame, path: str) -> None:
     ).write.mode("append").parquet(path)
 
 
-def _write(contacts: DataFrame, stamp: str | None):
+def _ordered(contacts: DataFrame, stamp: str | None) -> DataFrame:
+    """Result order inside files. Range partitions split a query that is too big for one task.
+
+    Sorting by the partition columns first lets the writers keep this order."""
     if stamp is None:
-        return _ordered(contacts).write.mode("append")
+        return contacts.repartitionByRange("query", "seq").sortWithinPartitions("query", "seq")
     named = with_output_names(contacts, stamp)
-    return _ordered(named).write.mode("append").partitionBy("query_hash", "run_ts")
+    return named.repartitionByRange(*OUTPUT_NAMES, "seq").sortWithinPartitions(*OUTPUT_NAMES, "seq")
+
+
+def _writer(ordered: DataFrame):
+    writer = ordered.write.mode("append")
+    named = set(OUTPUT_NAMES) <= set(ordered.columns)
+    return writer.partitionBy(*OUTPUT_NAMES) if named else writer
+
+
+def _json(ordered: DataFrame, path: str) -> None:
+    _writer(ordered).option("ignoreNullFields", "false").json(path)
+
+
+def _csv(ordered: DataFrame, path: str, empty_marker: bool) -> None:
+    if empty_marker and ordered.isEmpty():
+        marker = ordered.sparkSession.range(1).select(F.lit(fv.EMPTY_MARKER).alias("value"))
+        marker.coalesce(1).write.mode("append").text(path)
+        return
+    writer = _writer(flatten_contacts(ordered))
+    writer.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def _excel(ordered: DataFrame, path: str) -> None:
+    ordered.sparkSession.dataSource.register(ExcelDataSource)
+    rows = flatten_contacts(ordered)
+    rows.write.format("contact_excel").mode("append").option("path", path).save()
