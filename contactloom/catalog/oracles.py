@@ -229,8 +229,8 @@ listed AS (SELECT 'q' || CAST(page_id % 25 AS VARCHAR) AS query, page_id AS seq,
 
 def _decoded(expr: str) -> str:
     """Character references of the raw pages, decoded."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&amp;", "&")):
-        expr = f"replace({expr}, '{entity}', '{char}')"
+    for entity, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#x27", "''"), ("amp", "&")):
+        expr = f"regexp_replace({expr}, '&{entity};?', '{char}', 'g')"
     return expr
 
 

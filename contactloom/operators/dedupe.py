@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactloom.functions.text import nonempty
+from contactloom.operators.report import number_rows
 from contactloom.operators.shared import cut, lookup_join
-from contactloom.operators.similarity_join import similar_pairs
+from contactloom.operators.similarity_join import common_bigrams, comparable, pairs_between
 
 WEBSITE, PHONE, SIMILARITY = "website", "phone", "similarity"
 
@@ -31,6 +32,7 @@ def dedupe_businesses(
     rules: Sequence[str] | None = None,
     name_threshold: float = 0.8,
     address_threshold: float = 0.7,
+    first_batch: int = 1_000,
 ) -> DataFrame:
     """Keep-first within each query, in ``seq`` order, comparing with kept listings only.
 
@@ -43,14 +45,55 @@ def dedupe_businesses(
     if len(rules) == 1 and key_rules:
         return _first_per_key(businesses, _KEYS[key_rules[0]]())
     keys = [f"k{n}" for n in range(len(key_rules))]
-    nodes = businesses.withColumns({k: _KEYS[rule]() for k, rule in zip(keys, key_rules)})
-    pairs = None
+    keyed = {k: _KEYS[rule]() for k, rule in zip(keys, key_rules)}
     if SIMILARITY in rules:
-        pairs = similar_pairs(businesses, name_threshold, address_threshold)
-    kept = kept_rows(nodes.select("query", "seq", *keys), keys, pairs)
+        nodes = businesses.select("query", "seq", "name", "address", *_named(keyed))
+        kept = _kept_in_batches(nodes, keys, name_threshold, address_threshold, first_batch)
+    else:
+        kept = kept_rows(businesses.select("query", "seq", *_named(keyed)), keys)
     return businesses.join(kept, ["query", "seq"], "left_semi")
 
 
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [column.alias(name) for name, column in columns.items()]
+
+
+def _kept_in_batches(
+    nodes: DataFrame,
+    keys: Sequence[str],
+    name_threshold: float,
+    address_threshold: float,
+    first_batch: int,
+) -> DataFrame:
+    """Decide growing batches of ``seq`` order one after the other.
+
+    A batch first loses what matches earlier kept rows, so most copies are compared with few rows;
+    only the survivors are compared with each other. Batches grow eightfold: there are few of them.
+    """
+    place = F.ceil(F.log(8.0, F.col("number") / first_batch)).cast("int")
+    ranked = cut(number_rows(nodes).withColumn("batch", F.greatest(F.lit(0), place)))
+    common = common_bigrams(comparable(ranked))
+    last = ranked.agg(F.max("batch")).first()[0]
+    kept: DataFrame | None = None
+    for batch in range(0 if last is None else last + 1):
+        rows = ranked.filter(F.col("batch") == batch).drop("batch", "number")
+        if kept is not None:
+            for key in keys:
+                taken = kept.filter(F.col(key).isNotNull()).select("query", key).distinct()
+                rows = lookup_join(rows, taken, ["query", key], "left_anti")
+            rows = cut(rows)
+            hits = pairs_between(
+                cut(comparable(rows)), cut(comparable(kept)), common, name_threshold, address_threshold
+            )
+            gone = hits.select("query", F.col("later").alias("seq")).distinct()
+            rows = cut(rows.join(gone, ["query", "seq"], "left_anti"))
+        inside = cut(comparable(rows))
+        pairs = pairs_between(inside, inside, common, name_threshold, address_threshold)
+        stay = rows.join(kept_rows(rows.select("query", "seq", *keys), keys, pairs), ["query", "seq"], "left_semi")
+        kept = cut(stay if kept is None else kept.unionByName(stay))
+    return nodes.select("query", "seq").limit(0) if kept is None else kept.select("query", "seq")
+
+
 def _first_per_key(businesses: DataFrame, key: Column) -> DataFrame:
     """One rule only: first row per key. Rows without a key all stay, each in a group of its own."""
     alone = F.when(key.isNull(), F.col("seq"))
