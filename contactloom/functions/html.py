@@ -205,8 +205,10 @@ def _listing_parts(url: str | None, html: str | None):
     }
 
 
+# Marked as non-deterministic below: the optimizer then never copies a parse into a filter, which
+# would run it twice.
 @F.arrow_udf(from_arrow_type(_ELEMENTS))
-def page_elements(url: pa.Array, html: pa.Array) -> pa.Array:
+def _parse_page(url: pa.Array, html: pa.Array) -> pa.Array:
     """Anchors, scripts and elements with contact attributes, in document order.
 
     ``target`` is the link resolved against the page URL; a null URL skips that."""
@@ -232,7 +234,7 @@ _LISTING = pa.struct(
 
 
 @F.arrow_udf(from_arrow_type(_LISTING))
-def listing_parts(url: pa.Array, html: pa.Array) -> pa.Array:
+def _parse_listing(url: pa.Array, html: pa.Array) -> pa.Array:
     """Candidate texts and absolute links of a listing snapshot; null where it cannot be parsed."""
     pairs = zip(url.to_pylist(), html.to_pylist())
     return pa.array([_listing_parts(u, h) for u, h in pairs], _LISTING)
@@ -268,11 +270,15 @@ _CARDS = pa.struct([("articles", pa.list_(pa.string())), ("others", pa.list_(pa.
 
 
 @F.arrow_udf(from_arrow_type(_CARDS))
-def result_cards(html: pa.Array) -> pa.Array:
+def _parse_results(html: pa.Array) -> pa.Array:
     """Texts of the listing cards of a results page, by primary and by alternative selector."""
     return pa.array([_result_cards(h) for h in html.to_pylist()], _CARDS)
 
 
+page_elements = _parse_page.asNondeterministic()
+listing_parts = _parse_listing.asNondeterministic()
+result_cards = _parse_results.asNondeterministic()
+
 _ATTR_HINT = r"[dD][aA][tT][aA]-(?i:email|mail|user|domain|contact|address)"
 
 

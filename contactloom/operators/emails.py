@@ -27,12 +27,16 @@ def text_channels(text: Column, settings: Settings = Settings()) -> Column:
     return F.filter(F.flatten(tagged), lambda hit: e.has_email_shape(hit["email"]))
 
 
-def element_channels(html: Column, settings: Settings = Settings()) -> Column:
-    """Hits of attributes and, if asked for, of scripts. Pages without either skip the parser."""
+def gated_elements(html: Column, settings: Settings = Settings()) -> Column:
+    """Parsed elements of the pages whose attributes, or scripts if asked for, may hold e-mails."""
     gate = needs_attributes(html)
     if settings.js_concat:
-        gate = gate | html.rlike("(?i)<script")
-    elements = page_elements(F.lit(None).cast("string"), F.when(gate, html))
+        gate = gate | html.rlike("<[sS](?i:cript)")
+    return page_elements(F.lit(None).cast("string"), F.when(gate, html))
+
+
+def element_channels(elements: Column, settings: Settings = Settings()) -> Column:
+    """Hits of attributes and, if asked for, of scripts."""
     hits = e.attribute_emails(elements)
     if settings.js_concat:
         hits = F.concat(hits, _tag(e.script_emails(elements), F.lit(8)))
@@ -44,9 +48,11 @@ def with_hits(
 ) -> DataFrame:
     """Add ``hits``: every e-mail found in ``column``, in channel order, repeats kept."""
     found = text_channels(F.col(column), settings)
-    if elements:
-        found = F.concat(found, element_channels(F.col(column), settings))
-    return df.withColumn("hits", found)
+    if not elements:
+        return df.withColumn("hits", found)
+    parsed = df.withColumn("_elements", gated_elements(F.col(column), settings))
+    both = F.concat(found, element_channels(F.col("_elements"), settings))
+    return parsed.withColumn("hits", both).drop("_elements")
 
 
 def extract_emails(

@@ -23,9 +23,12 @@ def number_rows(businesses: DataFrame, block: int = BLOCK) -> DataFrame:
     """Add ``number``: 1, 2, 3 ... per query in ``seq`` order.
 
     Numbers are counted inside blocks of ``seq`` values and shifted by the rows of earlier blocks,
-    so a query of any size is numbered by many tasks.
+    so a query of any size is numbered by many tasks. Blocks are as wide as it takes to hold about
+    ``block`` rows, so there are few of them however far apart the values lie.
     """
-    placed = businesses.withColumn("_block", F.floor(F.col("seq") / block))
+    low, high, rows = businesses.agg(F.min("seq"), F.max("seq"), F.count("seq")).first()
+    width = -(-(high - low + 1) * block // rows) if rows else 1
+    placed = businesses.withColumn("_block", F.expr(f"(seq - {low or 0}) div {width}"))
     before = Window.partitionBy("query").orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1
     )

@@ -67,7 +67,8 @@ def _match_target(urls: pa.Array) -> pa.Array:
 def robots_rules(robots: DataFrame) -> DataFrame:
     """``base_url, agent, rule_idx, allow, path_prefix``; only bodies served with 200 give rules."""
     parsed = robots.filter("status = 200").select("base_url", _all_rules("body").alias("rules"))
-    return parsed.select("base_url", F.posexplode("rules").alias("rule_idx", "rule")).select(
+    exploded = parsed.select("base_url", F.posexplode_outer("rules").alias("rule_idx", "rule"))
+    return exploded.filter("rule IS NOT NULL").select(
         "base_url",
         F.col("rule.agent").alias("agent"),
         "rule_idx",
@@ -89,7 +90,6 @@ def robots_access(
         .groupBy("base_url")
         .agg(F.max("body").alias("body"))
         .select(F.col("base_url").alias("_base"), _agent_rules("body", F.lit(agent)).alias("rules"))
-        .filter(F.size("rules") > 0)
     )
     joined = lookup_join(
         visits.withColumn("_base", base_url(F.col(column))), rules, ["_base"]

@@ -33,6 +33,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def by_work(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitions in the configured number. Adaptive execution merges partitions by bytes; for
+    short rows that cost much work each, that would leave most cores idle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def fits_broadcast(df: DataFrame, *columns: str) -> bool:
     """Measured test of rows and bytes, so nothing that grows with the data is broadcast blindly."""
     size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(0))
@@ -40,9 +46,10 @@ def fits_broadcast(df: DataFrame, *columns: str) -> bool:
     return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; good enough to skip work that only pays on large inputs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def is_small(df: DataFrame) -> bool:
+    """By the optimizer's size estimate; good enough to skip work that only pays on large inputs."""
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return estimate < HOT_MIN_BYTES
 
 
 def hot_keys(
@@ -55,7 +62,7 @@ def hot_keys(
 
     None if the input is too small for hot keys to matter.
     """
-    if min_rows >= HOT_MIN_ROWS and estimated_bytes(df) < HOT_MIN_BYTES:
+    if min_rows >= HOT_MIN_ROWS and is_small(df):
         return None
     total = df.count()
     if total <= min_rows:
@@ -71,13 +78,17 @@ def lookup_join(
     how: str = "left",
     min_rows: int = HOT_MIN_ROWS,
     share: float = HOT_SHARE,
+    costly: bool = False,
 ) -> DataFrame:
     """Join to a side that is unique on ``keys`` when keys of the other side may be hot.
 
     Rows of hot keys meet a broadcast of at most ``1 / share`` right rows and are not shuffled;
-    all other rows take the ordinary join. The union of both is the whole result.
+    all other rows take the ordinary join. The union of both is the whole result. A large left side
+    is read several times; if it is ``costly`` to compute it is written once before that.
     """
     keys = list(keys)
+    if costly and not is_small(left):
+        left = cut(left)
     hot = hot_keys(left.dropna(subset=keys), keys, min_rows, share)
     if hot is None:
         return left.join(right, keys, how)

@@ -50,7 +50,7 @@ def first_visits(
         )
 
     none = F.array().cast("array<struct<phase int, pos int, url string>>")
-    planned = lookup_join(firsts, home_links, ["page_key"]).select(
+    planned = lookup_join(firsts, home_links, ["page_key"], costly=True).select(
         *scope,
         "owner",
         F.explode(

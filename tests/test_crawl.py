@@ -82,7 +82,7 @@ def test_replay_agrees_with_the_walk(spark, pages, monkeypatch, seed, mode):
     if mode != "small":
         monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
 
-        def hot(left, right, keys, how="left"):
+        def hot(left, right, keys, how="left", **_):
             return shared.lookup_join(left, right, keys, how, min_rows=0, share=1 / 8)
 
         monkeypatch.setattr(crawl_module, "lookup_join", hot)

@@ -99,7 +99,7 @@ def test_all_rules_agree_with_the_loop(spark, seed, batch):
 
 
 def test_hot_website_is_split(spark, monkeypatch):
-    def hot(left, right, keys, how="left"):
+    def hot(left, right, keys, how="left", **_):
         return lookup_join(left, right, keys, how, min_rows=0, share=1 / 10)
 
     monkeypatch.setattr(dedupe_module, "lookup_join", hot)

@@ -103,7 +103,7 @@ def test_save(spark, contacts, tmp_path):
 def test_reports(spark, contacts):
     rows = [("q", n, f"b{n}") for n in (5, 17, 3, 250, 99)] + [("r", 1, "c")]
     df = spark.createDataFrame(rows, "query string, seq bigint, name string")
-    numbers = {(r["query"], r["seq"]): r["number"] for r in number_rows(df, block=10).collect()}
+    numbers = {(r["query"], r["seq"]): r["number"] for r in number_rows(df, block=1).collect()}
     assert numbers == {("q", 3): 1, ("q", 5): 2, ("q", 17): 3, ("q", 99): 4, ("q", 250): 5, ("r", 1): 1}
     assert {r["seq"] for r in top_businesses(df, 2).filter("query = 'q'").collect()} == {3, 5}
     assert top_businesses(df, 0).count() == top_businesses(df, None).count() == 6

@@ -54,7 +54,7 @@ def test_hot_sites_are_split(spark, monkeypatch):
     robots, urls = tables(spark)
     plain = {(r["url"], r["access"]) for r in robots_access(urls, robots).collect()}
 
-    def hot(left, right, keys, how="left"):
+    def hot(left, right, keys, how="left", **_):
         return lookup_join(left, right, keys, how, min_rows=0, share=1 / 20)
 
     monkeypatch.setattr(robots_module, "lookup_join", hot)
