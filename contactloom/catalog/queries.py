@@ -297,19 +297,17 @@ def phones_first_match(spark, sf_dir):
 @register
 def blocked_searches(spark, sf_dir):
     """Challenge markup is added to some pages; every search that has one is dropped."""
+    html = F.expr("CASE WHEN seq % 50 = 7 THEN html || '<div class=\"g-ReCaptcha\">' ELSE html END")
     rows = _place_listings(spark, sf_dir).select(
-        "query",
-        "seq",
-        F.expr("CASE WHEN seq % 50 = 7 THEN html || '<div class=\"g-ReCaptcha\">' ELSE html END").alias(
-            "html"
-        ),
+        "query", "seq", listings.is_blocked(html).alias("blocked")
     )
     return listings.drop_blocked_searches(rows).select("query", "seq")
 
 
 @register
 def listing_records(spark, sf_dir):
-    return listings.good_rows(listings.listing_fields(_place_listings(spark, sf_dir), RUN_EPOCH))
+    fields = listings.listing_fields(_place_listings(spark, sf_dir), RUN_EPOCH)
+    return fields.filter("error IS NULL").drop("error", "blocked")
 
 
 @register

@@ -56,10 +56,10 @@ def is_blocked(html: Column) -> Column:
     return F.coalesce(F.lower(html).contains(fv.BLOCK_WORD), F.lit(False))
 
 
-def drop_blocked_searches(listings: DataFrame) -> DataFrame:
-    """A search with a challenge page yields nothing at all."""
-    blocked = listings.filter(is_blocked(F.col("html"))).select("query").distinct()
-    return lookup_join(listings, blocked, ["query"], "left_anti")
+def drop_blocked_searches(rows: DataFrame) -> DataFrame:
+    """A search with a ``blocked`` row yields nothing at all."""
+    blocked = rows.filter("blocked").select("query").distinct()
+    return lookup_join(rows, blocked, ["query"], "left_anti").drop("blocked")
 
 
 def result_listings(results: DataFrame) -> DataFrame:
@@ -73,13 +73,18 @@ def result_listings(results: DataFrame) -> DataFrame:
 
 
 def listing_fields(listings: DataFrame, run_epoch: int) -> DataFrame:
-    """``query, seq, name, website, phone_number, error`` for every snapshot.
+    """``query, seq, name, website, phone_number, error, blocked`` for every snapshot.
 
     ``run_epoch`` (seconds) names businesses without any name. ``error`` is set where the snapshot
-    could not be read.
+    could not be read, ``blocked`` where it is a challenge page.
     """
     parsed = listings.select(
-        "query", "seq", "place_url", "title", listing_parts("place_url", "html").alias("p")
+        "query",
+        "seq",
+        "place_url",
+        "title",
+        is_blocked(F.col("html")).alias("blocked"),
+        listing_parts("place_url", "html").alias("p"),
     )
     first_of = _first_where
     name = F.coalesce(
@@ -111,11 +116,13 @@ def listing_fields(listings: DataFrame, run_epoch: int) -> DataFrame:
         website.alias("website"),
         phone.alias("phone_number"),
         F.when(F.col("p").isNull(), "unreadable snapshot").alias("error"),
+        "blocked",
     )
 
 
 def good_rows(fields: DataFrame) -> DataFrame:
-    return fields.filter("error IS NULL").drop("error")
+    """Business records of the searches that were not blocked."""
+    return drop_blocked_searches(fields).filter("error IS NULL").drop("error")
 
 
 def failed_rows(fields: DataFrame) -> DataFrame:

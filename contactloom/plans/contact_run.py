@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from contactloom.fixed_values import Settings
 from contactloom.operators.dedupe import dedupe_businesses
 from contactloom.operators.history import mark_known
-from contactloom.operators.listings import drop_blocked_searches, good_rows, listing_fields
+from contactloom.operators.listings import good_rows, listing_fields
 from contactloom.operators.report import top_businesses
 from contactloom.operators.shared import cut
 from contactloom.plans.crawl import replay_crawl
@@ -23,10 +23,8 @@ def find_businesses(
     settings: Settings = Settings(),
 ) -> DataFrame:
     """Search results of every query: readable listings, duplicates dropped, then capped."""
-    fields = cut(good_rows(listing_fields(drop_blocked_searches(listings), run_epoch)))
-    kept = dedupe_businesses(
-        fields, rules, settings.name_threshold, settings.address_threshold
-    )
+    found = cut(good_rows(cut(listing_fields(listings, run_epoch))))
+    kept = dedupe_businesses(found, rules, settings.name_threshold, settings.address_threshold)
     return top_businesses(kept, settings.business_cap)
 
 

@@ -73,13 +73,10 @@ class _Workbook:
         self.sheet.write(f'<row r="{self.rows}">{cells}</row>'.encode())
 
     def finish(self, target: str) -> None:
-        from pyarrow import fs
-
         self.sheet.write(b"</sheetData></worksheet>")
         self.sheet.close()
         self.zip.close()
-        uri = target if "://" in target else "file://" + os.path.abspath(target.removeprefix("file:"))
-        store, path = fs.FileSystem.from_uri(uri)
+        store, path = _located(target)
         store.create_dir(path.rsplit("/", 1)[0], recursive=True)
         with open(self.local, "rb") as source, store.open_output_stream(path) as sink:
             while block := source.read(1 << 20):
@@ -87,6 +84,14 @@ class _Workbook:
         os.unlink(self.local)
 
 
+def _located(target: str):
+    """File system and path of a local path or a URI."""
+    from pyarrow import fs
+
+    uri = target if "://" in target else "file://" + os.path.abspath(target.removeprefix("file:"))
+    return fs.FileSystem.from_uri(uri)
+
+
 def _cell(value) -> str:
     if value is None:
         return "<c/>"
@@ -113,11 +118,14 @@ class ExcelDataSource(DataSource):
 class ExcelWriter(DataSourceWriter):
     """Rows arrive ordered by query; a new workbook starts with each query and at the sheet limit.
 
-    Helper columns ``query_hash`` and ``run_ts`` name the file and are not written as cells.
+    Helper columns ``query_hash`` and ``run_ts`` name the file and are not written as cells. Tasks
+    write to a pending folder; only files of successful tasks are moved out of it, so a lost or
+    repeated task leaves nothing behind.
     """
 
     def __init__(self, options, schema):
         self.folder = options["path"].rstrip("/")
+        self.pending = f"{self.folder}/_pending_{uuid.uuid4().hex}"
         self.limit = int(options.get("sheetRows", SHEET_ROWS))
         self.columns = [f.name for f in schema.fields if f.name not in _NAMES]
 
@@ -126,8 +134,8 @@ class ExcelWriter(DataSourceWriter):
         book, current = None, None
 
         def close():
-            name = f"{self.folder}/{'_'.join(current)}_{uuid.uuid4().hex[:12]}.xlsx"
-            book.finish(name)
+            name = f"{'_'.join(current)}_{uuid.uuid4().hex[:12]}.xlsx"
+            book.finish(f"{self.pending}/{name}")
             files.append(name)
 
         for row in rows:
@@ -143,14 +151,19 @@ class ExcelWriter(DataSourceWriter):
         return Written(files)
 
     def commit(self, messages):
-        pass
+        store, pending = _located(self.pending)
+        _, folder = _located(self.folder)
+        for message in messages:
+            for name in message.files if message else []:
+                store.move(f"{pending}/{name}", f"{folder}/{name}")
+        self._clear()
 
     def abort(self, messages):
-        """Remove the files of tasks that finished before the job failed."""
+        self._clear()
+
+    def _clear(self) -> None:
         from pyarrow import fs
 
-        for message in messages:
-            for name in message.files if message else []:
-                uri = name if "://" in name else "file://" + os.path.abspath(name)
-                store, path = fs.FileSystem.from_uri(uri)
-                store.delete_file(path)
+        store, pending = _located(self.pending)
+        if store.get_file_info(pending).type == fs.FileType.Directory:
+            store.delete_dir(pending)

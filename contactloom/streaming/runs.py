@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from contactloom.fixed_values import Settings
-from contactloom.operators.admission import admit_pages
+from contactloom.functions.urls import base_url
+from contactloom.operators.admission import is_html
 from contactloom.operators.dedupe import website_key
 from contactloom.operators.emails import page_emails
-from contactloom.functions.urls import base_url
+from contactloom.operators.shared import lookup_join
 from contactloom.sources.tables import with_page_defaults
 
 
@@ -21,8 +22,15 @@ def first_page_visits(pages: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def stream_emails(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Admitted pages with their e-mails; stateless, so it fits any stream."""
-    return page_emails(admit_pages(with_page_defaults(pages)), settings)
+    """``website, url, emails`` of every page, no e-mails where the page is not admitted; stateless,
+    so it fits any stream."""
+    bodies = with_page_defaults(pages).filter(F.col("url") != "")
+    admitted = F.coalesce((F.col("status") == 200) & is_html(F.col("content_type")), F.lit(False))
+    gated = bodies.select(
+        base_url(F.col("url")).alias("website"), "url", F.when(admitted, F.col("html")).alias("html")
+    )
+    found = page_emails(gated, settings)
+    return found.withColumn("emails", F.coalesce("emails", F.array().cast("array<string>")))
 
 
 def handled_sites_writer(
@@ -35,24 +43,26 @@ def handled_sites_writer(
     """E-mails of sites no earlier batch has handled, and the history of handled sites.
 
     Both outputs are partitioned by batch and a repeated batch overwrites its own partition and
-    reads only the history of the batches before it, so a restart changes nothing.
+    reads only the history of the batches before it, so a restart changes nothing. Pages are reduced
+    to their e-mails before they meet the history.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        sited = batch.withColumn("website", base_url(F.col("url")))
+        found = stream_emails(batch, settings).persist()
         try:
-            history = spark.read.parquet(history_path).filter(F.col("batch_id") < batch_id)
-            fresh = sited.join(history.select("website"), "website", "left_anti")
-        except AnalysisException:  # no history yet
-            fresh = sited
-        fresh = fresh.persist()
+            history = batch.sparkSession.read.parquet(history_path)
+            known = history.filter(F.col("batch_id") < batch_id).select("website").distinct()
+            fresh = lookup_join(found, known, ["website"], "left_anti")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            fresh = found  # no history yet
         try:
-            found = stream_emails(fresh, settings).filter(F.size("emails") > 0)
-            _put(found.select("website", "url", "emails"), emails_path, batch_id)
+            emails = fresh.filter(F.size("emails") > 0).select("website", "url", "emails")
+            _put(emails, emails_path, batch_id)
             _put(fresh.select("website").distinct(), history_path, batch_id)
         finally:
-            fresh.unpersist()
+            found.unpersist()
 
     return pages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
 

@@ -7,6 +7,7 @@ from contactloom.operators.listings import (
     failed_rows,
     first_phone,
     good_rows,
+    is_blocked,
     listing_fields,
     name_from_domain,
     result_listings,
@@ -99,8 +100,11 @@ def test_unreadable_rows_are_set_aside(spark):
 
 def test_one_challenge_page_empties_its_search(spark):
     rows = [("q", 1, "", "", "fine"), ("q", 2, "", "", "<div id=g-reCAPTCHA>"), ("r", 1, "", "", None)]
-    left = drop_blocked_searches(spark.createDataFrame(rows, SCHEMA)).collect()
+    marked = spark.createDataFrame(rows, SCHEMA).withColumn("blocked", is_blocked(F.col("html")))
+    left = drop_blocked_searches(marked).collect()
     assert [(r["query"], r["seq"]) for r in left] == [("r", 1)]
+    fields = listing_fields(spark.createDataFrame(rows, SCHEMA), 1)
+    assert good_rows(fields).count() == 0 and failed_rows(fields).count() == 1
 
 
 def test_result_cards_fall_back(spark):
