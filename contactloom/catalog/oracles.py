@@ -457,3 +457,18 @@ SELECT DISTINCT CAST(user_id AS VARCHAR) || '/' || event_type AS url FROM events
 {with_clause('dupes')} SELECT query, lower(website) AS site, min(seq) AS seq FROM dupes
 WHERE website <> '' GROUP BY 1, 2""",
 }
+
+# positions and list sizes are 32-bit integers on the other side
+_SMALL_INTEGERS = {
+    "pos": (
+        "emails_plain_pages", "emails_plain_documents", "emails_all_channels", "emails_mailto",
+        "element_list", "link_list", "contact_links", "additional_links", "visits_first",
+        "external_links", "result_cards",
+    ),
+    "email_count": ("summary_lines",),
+}
+for _column, _names in _SMALL_INTEGERS.items():
+    for _name in _names:
+        ORACLES[_name] = (
+            f"SELECT * REPLACE (CAST({_column} AS INTEGER) AS {_column}) FROM ({ORACLES[_name]})"
+        )

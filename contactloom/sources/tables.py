@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +44,7 @@ def history_source(spark: SparkSession, path: str) -> DataFrame:
     try:
         found = spark.read.parquet(path)
         return found.select("website")
-    except AnalysisException:
+    except PySparkException:
         return spark.createDataFrame([], schemas.HISTORY)
 
 
