@@ -1,7 +1,7 @@
 """The crawl plan against a plain sequential walk over small random sites."""
 
 import random
-from urllib.parse import urljoin, urldefrag
+from urllib.parse import urldefrag
 
 import pytest
 
