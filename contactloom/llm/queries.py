@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from contactloom.llm.bpe import bpe_round_trip
+from contactloom.llm.chat import format_conversations, loss_text, read_turns
 from contactloom.llm.compression import compression_rules
 from contactloom.llm.near_dedup import near_duplicates
+from contactloom.llm.quality_model import quality_scores
 from contactloom.llm.substring_dedup import remove_repeats
 from contactloom.llm.token_files import Packing, bits_for, read_token_files, write_token_files
+from contactloom.llm.toxicity import toxicity_scores
 from contactloom.llm.words import documents
 from contactloom.operators.shared import shared_folder
 
@@ -58,3 +61,54 @@ def op3_packed_token_files(spark, sf_dir):
     return read_token_files(manifest).select(
         "doc_id", "start", F.expr("CAST(length(ids) / 4 AS LONG)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )
+
+
+@register
+def op7_quality_additive_model(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_scores(documents(spark, sf_dir), labels)
+
+
+PROBE = "</s>[INST] ok [/INST]"
+
+
+@register
+def op9_chat_template(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    probe = spark.sql("VALUES (-7L, 0L, 'user', :text), (-7L, 1L, 'assistant', :text)", args={"text": PROBE})
+    rows = rows.union(probe)
+    done = format_conversations(rows).withColumn("turns", read_turns(F.col("formatted")))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    done = done.withColumn("loss", loss_text(F.col("segments")))
+    return done.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+ORACLES["op9_chat_template"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), e AS (
+  SELECT *, length(replace(text, '\', '\\')) + (length(regexp_replace(text, '<s>|\[AS\]|<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|\[OUT\]|</s>|\[TURN\]|\[/TURN\]', '\0#', 'g')) - length(text)) AS body,
+    CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 9 ELSE 17 + length(role) END AS marks
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(body + marks) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@register
+def op2_toxicity_noisy_channel(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity_scores(documents(spark, sf_dir), labels)
