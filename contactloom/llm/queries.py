@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from contactloom.llm.bpe import bpe_round_trip
 from contactloom.llm.chat import format_conversations, loss_text, read_turns
 from contactloom.llm.compression import compression_rules
+from contactloom.llm.decontaminate import flagged
 from contactloom.llm.near_dedup import near_duplicates
 from contactloom.llm.quality_model import quality_scores
+from contactloom.llm.secret_forest import scan_secrets
 from contactloom.llm.substring_dedup import remove_repeats
 from contactloom.llm.token_files import Packing, bits_for, read_token_files, write_token_files
 from contactloom.llm.toxicity import toxicity_scores
@@ -112,3 +114,16 @@ FROM e GROUP BY conv_id
 def op2_toxicity_noisy_channel(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity_scores(documents(spark, sf_dir), labels)
+
+
+@register
+def op6_template_decontamination(spark, sf_dir):
+    return flagged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@register
+def op8_secret_forest(spark, sf_dir):
+    found = scan_secrets(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "nth", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "probability", "is_secret"
+    )
