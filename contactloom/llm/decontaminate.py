@@ -23,8 +23,10 @@ UNITS = (
 )
 NAME = r"\p{Lu}(?<=[\p{L}\p{N},;)] \p{Lu})\p{Ll}+(?: \p{Lu}\p{Ll}+)*"
 NUMBER = r"\d(?<![\p{L}\p{N}]\d)\d*(?:[.,:/]\d+)*"
-UNIT = rf"(?i:(?<=\d ?)(?:{UNITS})(?![\p{{L}}\p{{N}}]))"
-SLOT = "\u0001([^\u0002]*)\u0002"
+UNIT = rf" ?(?i:{UNITS})(?![\p{{L}}\p{{N}}])"
+#: Between tokens: everything but digits, lower-case letters, and what is not ASCII and no punctuation.
+BETWEEN = "[^a-z0-9\u0001\u00aa-\u2000\u2070-\uffff]+"
+SLOT = "\u0001[^\u0002]*\u0002"
 
 
 @dataclass(frozen=True)
@@ -42,32 +44,33 @@ class Matching:
 def marked(text: Column) -> Column:
     """The text with every slot set apart between marks of its own."""
     plain = F.translate(F.coalesce(text, F.lit("")), "\u0001\u0002", "")
-    return F.regexp_replace(plain, f"{NAME}|{NUMBER}|{UNIT}", " \u0001$0\u0002 ")
+    return F.regexp_replace(plain, f"{NAME}|{NUMBER}(?:{UNIT})?", " \u0001$0\u0002 ")
 
 
 def tokens(marked_text: Column) -> Column:
-    """Template tokens: lower-case words without marks, and one placeholder for each slot."""
-    out = F.regexp_replace(marked_text, "\u0001\\d[^\u0002]*\u0002", "\u0001q")
-    out = F.regexp_replace(out, "\u0001\\p{Lu}\\p{Ll}[^\u0002]*\u0002", "\u0001n")
-    out = F.regexp_replace(out, "\u0001[^\u0002]*\u0002", "\u0001u")
-    out = F.regexp_replace(out, "[^\\p{L}\\p{N}\\p{M}\u0001\\s]+", "")
-    return F.filter(F.split(F.lower(out), "\\s+"), lambda t: t != "")
+    """Template tokens: lower-case words without marks, and one placeholder for each slot: ``n`` for a
+    name, ``q`` for a number, ``u`` for a number with a unit."""
+    out = F.regexp_replace(marked_text, "\u0001\\d[^\u0002]*[\\p{L}][^\u0002]*\u0002", "\u0001u")
+    out = F.regexp_replace(out, "\u0001\\d[^\u0002]*\u0002", "\u0001q")
+    out = F.regexp_replace(out, "\u0001[^\u0002]+\u0002", "\u0001n")
+    return F.array_remove(F.split(F.lower(out), BETWEEN), "")
 
 
-def slots(marked_text: Column, template: Column) -> Column:
-    """The value of each token's slot, null for words."""
-    values = F.transform(F.regexp_extract_all(marked_text, F.lit(SLOT), F.lit(1)), lambda v: F.lower(v))
-    places = F.filter(F.transform(template, lambda t, i: F.when(t.startswith("\u0001"), i)), lambda i: i.isNotNull())
-    by_place = F.map_from_arrays(places, values)
-    return F.transform(template, lambda t, i: F.when(t.startswith("\u0001"), F.try_element_at(by_place, i)))
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
-def _windows(template: Column, length: int, keep=None) -> Column:
-    """``at, key`` of every window of so many tokens; ``keep`` may refuse windows."""
+def slots(marked_text: Column) -> Column:
+    """The value of each token's slot, null for words; as many entries as there are tokens."""
+    parts = F.regexp_extract_all(F.lower(marked_text), F.lit(f"{SLOT}|[{BETWEEN[2:]}"), F.lit(0))
+    return F.transform(parts, lambda p: F.when(p.startswith("\u0001"), p))
+
+
+def _windows(template: Column, length: int) -> Column:
+    """``at, key`` of every window of so many tokens."""
     last = F.size(template) - length
     starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    if keep is not None:
-        starts = F.filter(starts, lambda i: keep(F.slice(template, i + 1, length)))
     return F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(template, i + 1, length)).alias("key")))
 
 
@@ -105,10 +108,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, how: Matching = Matching
     lengths = [r.length for r in windows.select("length").distinct().collect()]  # at most how.window values
     small = windows.count() <= how.broadcast_rows
     template = tokens(marked(F.col("text")))
-    spread = tagged.select("doc_id", "tag", template.alias("template"))
-    arrays = [_windows(F.col("template"), n) for n in sorted(lengths)]
     none = F.array().cast("array<struct<at:int,key:bigint>>")
-    every = spread.select("doc_id", "tag", F.explode(F.concat(*arrays) if arrays else none).alias("w")).select("doc_id", "tag", "w.at", "w.key")
+    every = _once(template, lambda t: F.concat(none, *(_windows(t, n) for n in sorted(lengths))))
+    # With the outer form no filter is derived that would compute all windows once more.
+    every = tagged.select("doc_id", "tag", F.explode_outer(every).alias("w")).select("doc_id", "tag", "w.at", "w.key")
     items = windows.select("item_id", "total", F.col("at").alias("item_at"), "key")
     hits = every.join(F.broadcast(items) if small else items, "key")
     runs = (
@@ -118,17 +121,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, how: Matching = Matching
     )
     runs = cut(runs)
 
-    whole = lambda df, name: df.withColumn(name, F.struct(tokens(F.col("marked")).alias("t"), F.col("marked").alias("m")))
-    with_slots = lambda c: F.struct(c["t"].alias("t"), slots(c["m"], c["t"]).alias("v"))
-    items_in_full = whole(benchmark.select(F.col("item_id"), marked(F.col("text")).alias("marked")), "item").select(
-        "item_id", with_slots(F.col("item")).alias("item")
-    )
+    whole = _once(marked(F.col("text")), lambda m: F.struct(tokens(m).alias("t"), slots(m).alias("v")))
+    items_in_full = benchmark.select("item_id", whole.alias("item"))
     found = tagged.alias("d").join(
         runs.select("doc_id", "tag").distinct().alias("r"),
         F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.tag") == F.col("r.tag")),
         "left_semi",
     )
-    texts = whole(found.withColumn("marked", marked(F.col("text"))), "doc").select("doc_id", "tag", with_slots(F.col("doc")).alias("doc"))
+    texts = found.select("doc_id", "tag", whole.alias("doc"))
     both = (
         runs.alias("r")
         .join(texts.alias("d"), F.col("r.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("r.tag") == F.col("d.tag")))
@@ -147,13 +147,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, how: Matching = Matching
         F.filter(facing, lambda p: p["iv"].isNotNull() & p["dv"].isNotNull() & (p["it"] == p["dt"])),
         lambda p: F.struct(p["iv"].alias("iv"), p["dv"].alias("dv")),
     )
-    torn = F.size(F.array_distinct("pairs")) - F.size(F.array_distinct(F.transform("pairs", lambda p: p["iv"])))
+
+    def compared(p: Column) -> Column:
+        torn = F.size(F.array_distinct(p)) - F.size(F.array_distinct(F.transform(p, lambda x: x["iv"])))
+        return F.struct(F.size(p).alias("slots"), torn.alias("torn"))
+
     return (
-        both.withColumn("pairs", pairs)
-        .filter(torn <= F.size("pairs") * (1 - how.agree))
+        both.select("doc_id", "tag", "item_id", "total", "matched", _once(pairs, compared).alias("c"))
         .groupBy("doc_id", "tag", "item_id", "total")
-        .agg(F.max("matched").alias("matched"), F.max(F.size("pairs")).alias("slots"))
-        .select("doc_id", "tag", "item_id", "matched", F.col("total").cast("long").alias("total"), F.col("slots").cast("long").alias("slots"))
+        .agg(F.max(F.when(F.col("c.torn") <= F.col("c.slots") * (1 - how.agree), F.struct("matched", "c.slots"))).alias("best"))
+        .filter("best IS NOT NULL")
+        .select("doc_id", "tag", "item_id", "best.matched", F.col("total").cast("long").alias("total"), F.col("best.slots").cast("long").alias("slots"))
     )
 
 

@@ -280,3 +280,12 @@ def _labelled(members: DataFrame, nodes: DataFrame, label: DataFrame | None) ->
         return members.withColumn("component", F.col("node")), nodes.withColumn("component", F.col("node"))
     with_own = lambda x: x.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return with_own(members), with_own(nodes)
+
+
+def keep_one_each(docs: DataFrame, rule: NearDup = NearDup()) -> DataFrame:
+    """``docs`` without the documents whose component has a smaller id; all columns unchanged.
+
+    Rows that share an id, and rows without one, stay together.
+    """
+    gone = near_duplicates(docs, rule).filter("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")

@@ -8,6 +8,7 @@ over coarser bins, filled the same way. Scoring a text adds up table entries, ve
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.features import NAMES, map_features
-from contactloom.llm.words import held_out
+from contactloom.llm.features import NAMES, map_features, text_features
+from contactloom.llm.words import blocks, held_out
 
 SCORED = "doc_id long, score double"
 
@@ -180,3 +181,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int
     return score_quality(docs, model).select(
         "doc_id", held_out("doc_id", folds, fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, in one pass, all columns unchanged."""
+    names, text = docs.columns, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [model.scores(text_features(w)) for w in blocks(batch.column(text))]
+            good = np.concatenate(scores) >= threshold if scores else np.zeros(0, dtype=bool)
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(good)).columns, names=names)
+
+    return docs.mapInArrow(run, docs.schema)
