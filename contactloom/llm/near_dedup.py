@@ -4,10 +4,10 @@ Two fixed permutations of the 32-bit integers serve all signature coordinates: t
 shingle hashes, the second, shifted circularly by ``k``, orders them for coordinate ``k``.
 
 Documents with equal shingle sets collapse to one class first, so copies cost nothing later. Classes
-that share a band are candidates. Within a bucket, classes are compared with one hub per round and not
-with each other; after two rounds, every candidate pair whose ends still lie in different components
-is compared: the smaller component's classes against the other component, block by block. So each
-candidate pair is either compared or already connected, without listing the pairs of a group.
+that share a band are candidates. Within a bucket, classes are first compared with one hub per round,
+in two rounds; what still lies in different components of a bucket is then compared block by block, a
+block of classes at a time. So each candidate pair is either compared or already connected, without
+listing the pairs of a group.
 Similarity is always confirmed on whole shingle sets.
 """
 
@@ -38,7 +38,7 @@ class NearDup:
     percent: int = 85
     rows: int = 5
     bands: int = 28
-    block: int = 64
+    block: int = 256
 
 
 def scatter(x: np.ndarray) -> np.ndarray:
@@ -168,8 +168,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, rule: NearDup) -> DataFrame:
                     known = other, shingles(b, rule.words)
                 if alike(shingles(a, rule.words), known[1], rule.percent):
                     good.append((node, other))
-            nodes, others = zip(*good) if good else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(others, pa.int64())], names=["node", "other"])
+            yield _links(good)
 
     met = pairs.join(left, "node").join(right, "other")
     return met.select("node", "other", "left", "right").mapInArrow(run, LINK)
@@ -188,45 +187,91 @@ def _hub_pairs(members: DataFrame, seed: int, rule: NearDup) -> DataFrame:
     )
 
 
-def _rest(members: DataFrame, classes: DataFrame, texts: DataFrame, rule: NearDup) -> DataFrame:
-    """Links between components that still share a bucket, whichever their size."""
-    open_keys = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b")
-    open_members = cut(members.join(open_keys.select("key"), "key").select("key", "node", "component"))
-    sizes = classes.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    there = open_members.select("key", "component").distinct().join(sizes, "component")
-    here = open_members.join(sizes, "component")
-    against = (
-        here.alias("x").join(there.alias("y"), F.col("x.key") == F.col("y.key"))
-        .filter("struct(x.n, x.component) < struct(y.n, y.component)")
-        .select("x.node", F.col("y.component").alias("component"), F.col("y.n").alias("n"))
-        .distinct()
+class Block:
+    """Texts of one part of a bucket: shingle hashes in one sorted table with their owners."""
+
+    def __init__(self, rule: NearDup):
+        self.rule, self.nodes, self.components, self.texts, self.sets = rule, [], [], [], []
+        self.values = None
+
+    def add(self, node, component, text, values) -> None:
+        self.nodes.append(node)
+        self.components.append(component)
+        self.texts.append(text)
+        self.sets.append(values)
+
+    def _index(self) -> None:
+        sizes = np.array([len(v) for v in self.sets])
+        values, owners = np.concatenate(self.sets), np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(values, kind="stable")
+        self.values, self.owners, self.sizes = values[order], owners[order], sizes
+
+    def links(self, node, component, text, values) -> Iterator[tuple[int, int]]:
+        """One link of the text to each other component in which the block has a similar text."""
+        if self.values is None:
+            self._index()
+        low, high = (np.searchsorted(self.values, values, side) for side in ("left", "right"))
+        n = high - low
+        at = np.arange(n.sum()) + np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+        both = np.bincount(self.owners[at], minlength=len(self.sizes))
+        near = (both > 0) & (100 * both >= self.rule.percent * (len(values) + self.sizes - both))
+        linked, own = {component}, None
+        for k in np.flatnonzero(near):
+            if self.components[k] not in linked:
+                own = own or shingles(text, self.rule.words)
+                if alike(own, shingles(self.texts[k], self.rule.words), self.rule.percent):
+                    linked.add(self.components[k])
+                    yield node, self.nodes[k]
+
+    def inner_links(self) -> Iterator[tuple[int, int]]:
+        for k, node in enumerate(self.nodes):
+            yield from self.links(node, self.components[k], self.texts[k], self.sets[k])
+
+
+def _rest(members: DataFrame, texts: DataFrame, rule: NearDup) -> DataFrame:
+    """Links between components that still share a bucket.
+
+    A bucket is cut into parts of about ``rule.block`` classes. A part is compared with itself, and
+    each class with the later parts of its bucket, so a row stands for up to ``rule.block`` pairs.
+    """
+    buckets = members.groupBy("key").agg(
+        F.min("component").alias("a"), F.max("component").alias("b"), F.ceil(F.count(F.lit(1)) / rule.block).cast("int").alias("parts")
     )
-    parts = F.ceil(F.col("n") / rule.block).cast("int")
-    asking = against.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("node", "component", "part", F.lit(1).alias("asks"))
-    targets = (
-        classes.join(against.select("component", "n").distinct(), "component")
-        .withColumn("part", F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int"))
-        .select("node", "component", "part", F.lit(0).alias("asks"))
+    split = (
+        members.join(buckets.filter("a != b").select("key", "parts"), "key")
+        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
+        .select("key", "part", "parts", "node", "component")
     )
-    rows = targets.unionByName(asking).join(texts, "node")
+    later = F.sequence(F.col("part") + 1, F.col("parts") - 1)
+    asking = split.filter("part < parts - 1").select("key", F.explode(later).alias("part"), "node", "component", F.lit(1).alias("asks"))
+    rows = split.select("key", "part", "node", "component", F.lit(0).alias("asks")).unionByName(asking).join(texts, "node")
 
     def run(batches):
-        group, sets = None, []
+        group, block = None, Block(rule)
         for batch in batches:
             good = []
-            for node, component, part, asks, text in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if group != (component, part):
-                    group, sets = (component, part), []
-                own = shingles(text, rule.words)
-                if not asks:
-                    sets.append((node, own))
-                else:
-                    good += ((node, other) for other, theirs in sets if alike(own, theirs, rule.percent))
-            nodes, others = zip(*good) if good else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(others, pa.int64())], names=["node", "other"])
+            keys, parts, nodes, components, asks = (batch.column(k).to_pylist() for k in range(5))
+            for words in blocks(batch.column(5), lower=True):
+                values, first = shingle_sets(words, rule.words)
+                for k, row in enumerate(words.rows):
+                    if group != (keys[row], parts[row]):
+                        good += block.inner_links()
+                        group, block = (keys[row], parts[row]), Block(rule)
+                    own = (nodes[row], components[row], batch.column(5)[row].as_py(), values[first[k] : first[k + 1]])
+                    if asks[row]:
+                        good += block.links(*own) if block.nodes else ()
+                    else:
+                        block.add(*own)
+            yield _links(good)
+        yield _links(list(block.inner_links()))
+
+    dealt = rows.repartition("key", "part").sortWithinPartitions("key", "part", "asks")
+    return dealt.select("key", "part", "node", "component", "asks", "text").mapInArrow(run, LINK)
+
 
-    dealt = rows.repartition("component", "part").sortWithinPartitions("component", "part", "asks")
-    return dealt.select("node", "component", "part", "asks", "text").mapInArrow(run, LINK)
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    nodes, others = zip(*pairs) if pairs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(others, pa.int64())], names=["node", "other"])
 
 
 def near_duplicates(docs: DataFrame, rule: NearDup = NearDup()) -> DataFrame:
@@ -252,7 +297,6 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup()) -> DataFrame:
     members = cut(members.join(shared, "key"))
     wanted = members.select(F.col("node").alias("doc_id"), "tag").distinct()
     texts = cut(docs.join(wanted, ["doc_id", "tag"]).groupBy(F.col("doc_id").alias("node"), "tag").agg(F.first("text").alias("text")).drop("tag"))
-    nodes = wanted.select(F.col("doc_id").alias("node")).distinct()
 
     # Documents that have one id connect the classes they stand in.
     links = named.join(node_of, same).filter("doc_id != node").select(F.col("doc_id").alias("node"), F.col("node").alias("other"))
@@ -260,11 +304,10 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup()) -> DataFrame:
     links = links.join(ids_twice.select(F.col("doc_id").alias("node")), "node").distinct()
     label = None
     for seed in (1, 2):
-        members_now, _ = _labelled(members, nodes, label)
+        members_now = _labelled(members, label)
         links = cut(links.unionByName(_confirmed(_hub_pairs(members_now, seed, rule), texts, rule)))
         label = components(links)
-    members_now, classes = _labelled(members, nodes, label)
-    links = cut(links.unionByName(_rest(members_now, classes, texts, rule)))
+    links = cut(links.unionByName(_rest(_labelled(members, label), texts, rule)))
     label = components(links)
 
     home = signed.join(node_of, same, "left")
@@ -275,11 +318,10 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup()) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _labelled(members: DataFrame, nodes: DataFrame, label: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def _labelled(members: DataFrame, label: DataFrame | None) -> DataFrame:
     if label is None:
-        return members.withColumn("component", F.col("node")), nodes.withColumn("component", F.col("node"))
-    with_own = lambda x: x.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return with_own(members), with_own(nodes)
+        return members.withColumn("component", F.col("node"))
+    return members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def keep_one_each(docs: DataFrame, rule: NearDup = NearDup()) -> DataFrame:
