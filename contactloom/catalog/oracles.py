@@ -393,7 +393,7 @@ SELECT doc_id, nullif(regexp_extract(text, '{PHONE}'), '') AS phone FROM documen
     "blocked_searches": f"""
 WITH {_LISTED}
 SELECT query, seq FROM listed WHERE query NOT IN (SELECT query FROM listed
-  WHERE seq % 50 = 7 OR contains(lower(html), 'captcha'))""",
+  WHERE seq % 10 = 7 AND (seq % 50 = 7 OR contains(lower(html), 'captcha')))""",
     "listing_records": f"WITH {_RECORDS} SELECT query, seq, name, website, phone_number FROM records",
     "search_run": f"""
 WITH RECURSIVE {_RECORDS}, {_greedy('records')}

@@ -296,18 +296,21 @@ def phones_first_match(spark, sf_dir):
 
 @register
 def blocked_searches(spark, sf_dir):
-    """Challenge markup is added to some pages; every search that has one is dropped."""
-    html = F.expr("CASE WHEN seq % 50 = 7 THEN html || '<div class=\"g-ReCaptcha\">' ELSE html END")
-    rows = _place_listings(spark, sf_dir).select(
-        "query", "seq", listings.is_blocked(html).alias("blocked")
+    """Some listings serve as results pages, and some of those get challenge markup. The same markup
+    on all other listings changes nothing."""
+    marked = F.concat("html", F.lit('<div class="g-ReCaptcha">'))
+    rows = _place_listings(spark, sf_dir)
+    results = rows.filter("seq % 10 = 7").select(
+        "query", F.when(F.expr("seq % 50 = 7"), marked).otherwise(F.col("html")).alias("html")
     )
-    return listings.drop_blocked_searches(rows).select("query", "seq")
+    fields = listings.listing_fields(rows.withColumn("html", marked), RUN_EPOCH)
+    return listings.drop_blocked_searches(fields, results).select("query", "seq")
 
 
 @register
 def listing_records(spark, sf_dir):
     fields = listings.listing_fields(_place_listings(spark, sf_dir), RUN_EPOCH)
-    return fields.filter("error IS NULL").drop("error", "blocked")
+    return fields.filter("error IS NULL").drop("error")
 
 
 @register

@@ -9,7 +9,7 @@ from contactloom.fixed_values import Settings
 from contactloom.functions import emails as e
 from contactloom.functions.html import needs_attributes, page_elements
 from contactloom.functions.urls import page_key
-from contactloom.operators.admission import is_html
+from contactloom.operators.admission import is_html, snapshot_order
 
 HITS = "array<struct<channel int, email string>>"
 
@@ -87,7 +87,7 @@ def emails_by_document(pages: DataFrame, settings: Settings = Settings()) -> Dat
         "url", "fetched_at", "status", F.when(admitted, F.col("html")).alias("html")
     )
     found = page_emails(bodies, settings)
-    newest = F.struct("fetched_at", "status", F.hash("url", "emails"))
+    newest = snapshot_order("url", "emails")
     return (
         found.groupBy(page_key(F.col("url")).alias("page_key"))
         .agg(F.max_by("emails", newest).alias("emails"))

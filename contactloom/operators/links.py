@@ -11,6 +11,7 @@ from contactloom.functions.emails import mailto_emails
 from contactloom.functions.html import has_anchor, page_elements
 from contactloom.functions.text import contains_any
 from contactloom.functions.urls import normalize_url, page_key
+from contactloom.operators.admission import snapshot_order
 
 
 def html_elements(pages: DataFrame) -> DataFrame:
@@ -78,7 +79,7 @@ def links_by_document(pages: DataFrame, settings: Settings = Settings()) -> Data
         "html", F.when(F.col("status") < 400, F.col("html"))
     )
     links = F.struct("contact", "additional", "mailto")
-    newest = F.struct("fetched_at", "status", F.hash("url", "contact", "additional", "mailto"))
+    newest = snapshot_order("url", "contact", "additional", "mailto")
     return (
         followed_links(bodies, settings)
         .groupBy(page_key(F.col("url")).alias("page_key"))

@@ -52,14 +52,17 @@ def is_external_link(href: Column, excluded: str = fv.EXCLUDED_LINK_HOST) -> Col
 
 
 def is_blocked(html: Column) -> Column:
-    """Snapshot of a challenge page."""
+    """Results page that shows a challenge instead of results."""
     return F.coalesce(F.lower(html).contains(fv.BLOCK_WORD), F.lit(False))
 
 
-def drop_blocked_searches(rows: DataFrame) -> DataFrame:
-    """A search with a ``blocked`` row yields nothing at all."""
-    blocked = rows.filter("blocked").select("query").distinct()
-    return lookup_join(rows, blocked, ["query"], "left_anti").drop("blocked")
+def drop_blocked_searches(rows: DataFrame, results: DataFrame) -> DataFrame:
+    """A search whose results page (``query, html``) is a challenge yields nothing at all.
+
+    Only results pages are tested: the word on a listing of its own (a protected form) means nothing.
+    """
+    blocked = results.filter(is_blocked(F.col("html"))).select("query").distinct()
+    return lookup_join(rows, blocked, ["query"], "left_anti")
 
 
 def result_listings(results: DataFrame) -> DataFrame:
@@ -73,17 +76,16 @@ def result_listings(results: DataFrame) -> DataFrame:
 
 
 def listing_fields(listings: DataFrame, run_epoch: int) -> DataFrame:
-    """``query, seq, name, website, phone_number, error, blocked`` for every snapshot.
+    """``query, seq, name, website, phone_number, error`` for every snapshot.
 
     ``run_epoch`` (seconds) names businesses without any name. ``error`` is set where the snapshot
-    could not be read, ``blocked`` where it is a challenge page.
+    could not be read.
     """
     parsed = listings.select(
         "query",
         "seq",
         "place_url",
         "title",
-        is_blocked(F.col("html")).alias("blocked"),
         listing_parts("place_url", "html").alias("p"),
     )
     first_of = _first_where
@@ -116,13 +118,13 @@ def listing_fields(listings: DataFrame, run_epoch: int) -> DataFrame:
         website.alias("website"),
         phone.alias("phone_number"),
         F.when(F.col("p").isNull(), "unreadable snapshot").alias("error"),
-        "blocked",
     )
 
 
-def good_rows(fields: DataFrame) -> DataFrame:
-    """Business records of the searches that were not blocked."""
-    return drop_blocked_searches(fields).filter("error IS NULL").drop("error")
+def good_rows(fields: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """Readable business records; with results pages, of the searches that were not blocked."""
+    good = fields.filter("error IS NULL").drop("error")
+    return good if results is None else drop_blocked_searches(good, results)
 
 
 def failed_rows(fields: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,12 +15,9 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors see: ``spark.checkpoint.dir``, or a temporary one if unset (tests)."""
+    """Folder all executors see: ``spark.checkpoint.dir``, or one in the warehouse if that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="contactloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/contactloom-work"
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -21,9 +21,13 @@ def find_businesses(
     run_epoch: int,
     rules: Sequence[str] | None = None,
     settings: Settings = Settings(),
+    results: DataFrame | None = None,
 ) -> DataFrame:
-    """Search results of every query: readable listings, duplicates dropped, then capped."""
-    found = cut(good_rows(cut(listing_fields(listings, run_epoch))))
+    """Search results of every query: readable listings, duplicates dropped, then capped.
+
+    ``results`` are the results pages (``query, html``); searches that met a challenge yield nothing.
+    """
+    found = cut(good_rows(cut(listing_fields(listings, run_epoch)), results))
     kept = dedupe_businesses(found, rules, settings.name_threshold, settings.address_threshold)
     return top_businesses(kept, settings.business_cap)
 

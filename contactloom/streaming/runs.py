@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -40,23 +40,21 @@ def handled_sites_writer(
     checkpoint: str,
     settings: Settings = Settings(),
 ) -> DataStreamWriter:
-    """E-mails of sites no earlier batch has handled, and the history of handled sites.
+    """E-mails of sites that no earlier run has handled, and the history of handled sites.
 
-    Both outputs are partitioned by batch and a repeated batch overwrites its own partition and
-    reads only the history of the batches before it, so a restart changes nothing. Pages are reduced
-    to their e-mails before they meet the history.
+    A run begins when this writer is made; what counts as handled is fixed then, so pages of one site
+    may arrive in any number of batches. Both outputs are partitioned by batch and a repeated batch
+    overwrites its own partition. Pages are reduced to their e-mails before they meet the history.
     """
+    earlier = _batches(pages.sparkSession, history_path)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         found = stream_emails(batch, settings).persist()
-        try:
+        fresh = found
+        if handled := min(earlier, batch_id):
             history = batch.sparkSession.read.parquet(history_path)
-            known = history.filter(F.col("batch_id") < batch_id).select("website").distinct()
+            known = history.filter(F.col("batch_id") < handled).select("website").distinct()
             fresh = lookup_join(found, known, ["website"], "left_anti")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            fresh = found  # no history yet
         try:
             emails = fresh.filter(F.size("emails") > 0).select("website", "url", "emails")
             _put(emails, emails_path, batch_id)
@@ -67,6 +65,17 @@ def handled_sites_writer(
     return pages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
 
 
+def _batches(spark: SparkSession, history_path: str) -> int:
+    """Number of the first batch after those in the history."""
+    try:
+        last = spark.read.parquet(history_path).agg(F.max("batch_id")).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0  # no history yet
+    return 0 if last is None else int(last) + 1
+
+
 def first_listings(businesses: DataFrame) -> DataFrame:
     """Earliest ``seq`` per query and website, as a running minimum (update mode).
 

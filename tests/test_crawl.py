@@ -157,3 +157,13 @@ def test_page_bodies_are_not_shuffled(spark, pages, tmp_path):
     exchanges = [line for line in text.splitlines() if "Exchange" in line]
     assert exchanges and not any("html" in line for line in exchanges)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_an_answer_hides_an_error_of_equal_age(spark, pages):
+    from contactloom.operators.emails import emails_by_document
+    from contactloom.operators.links import links_by_document
+
+    html = '<p>info@a.org</p><a href="mailto:bob@a.org">Bob</a>'
+    both = pages(("https://a.org/", html, 200), ("https://a.org/", "gone", 404))
+    assert [r["emails"] for r in emails_by_document(both).collect()] == [["info@a.org", "bob@a.org"]]
+    assert [r["mailto"] for r in links_by_document(both).collect()] == [["bob@a.org"]]

@@ -98,13 +98,17 @@ def test_unreadable_rows_are_set_aside(spark):
     assert 1 in good and 2 in failed and good | failed == {1, 2, 3} and not good & failed
 
 
-def test_one_challenge_page_empties_its_search(spark):
-    rows = [("q", 1, "", "", "fine"), ("q", 2, "", "", "<div id=g-reCAPTCHA>"), ("r", 1, "", "", None)]
-    marked = spark.createDataFrame(rows, SCHEMA).withColumn("blocked", is_blocked(F.col("html")))
-    left = drop_blocked_searches(marked).collect()
-    assert [(r["query"], r["seq"]) for r in left] == [("r", 1)]
+def test_a_challenge_on_the_results_page_empties_its_search(spark):
+    form = "<h1>Good Shop</h1><p>protected by reCAPTCHA</p>"
+    rows = [(q, n, "", "", form) for q in "qr" for n in range(3)] + [("s", 1, "", "", None)]
     fields = listing_fields(spark.createDataFrame(rows, SCHEMA), 1)
-    assert good_rows(fields).count() == 0 and failed_rows(fields).count() == 1
+    pages = [("q", "<p>results</p>"), ("q", "<div id=g-reCAPTCHA>"), ("r", "<p>results</p>"), ("s", None)]
+    results = spark.createDataFrame(pages, "query string, html string")
+    assert [r["flag"] for r in results.select(is_blocked(F.col("html")).alias("flag")).collect()] == [False, True, False, False]
+    left = drop_blocked_searches(fields, results).collect()
+    assert sorted((r["query"], r["seq"]) for r in left) == [("r", 0), ("r", 1), ("r", 2), ("s", 1)]
+    assert good_rows(fields, results).count() == 3 and good_rows(fields).count() == 6
+    assert failed_rows(fields).count() == 1
 
 
 def test_result_cards_fall_back(spark):

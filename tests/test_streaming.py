@@ -35,6 +35,20 @@ def test_sites_are_handled_once(spark, tmp_path):
     assert sorted(sites) == ["https://a.org", "https://b.org", "https://c.org"]
 
 
+def test_batch_borders_do_not_matter(spark, tmp_path):
+    source = str(tmp_path / "in")
+    for n in range(4):
+        row = [(f"https://a.org/{n}", 200, "text/html", f"x{n}@a.org", dt.datetime(2024, 1, 1))]
+        spark.createDataFrame(row, schemas.PAGES).coalesce(1).write.mode("append").parquet(source)
+    found = []
+    for files in (1, 100):
+        out, seen, state = (str(tmp_path / f"{n}{files}") for n in ("out", "seen", "state"))
+        stream = spark.readStream.schema(schemas.PAGES).option("maxFilesPerTrigger", files).parquet(source)
+        drain(handled_sites_writer(stream, out, seen, state))
+        found.append(sorted(r["url"] for r in spark.read.parquet(out).collect()))
+    assert found[0] == found[1] == [f"https://a.org/{n}" for n in range(4)]
+
+
 def test_first_visit_per_url(spark, tmp_path):
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     schema = "url string, fetched_at timestamp"
