@@ -158,21 +158,35 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known = WordCache(lambda word: self._ask([word])[0])
+        self.known = WordCache(lambda word: self._ask([word])[0], limit=500_000)
 
     def _ask(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        cut = [(text or "").encode().split() for text in texts]
-        new = list({w for words in cut for w in words if w not in self.known and w not in self.known.old})
+    def _lookup(self, words: set[bytes]) -> None:
+        new = [w for w in words if w not in self.known and w not in self.known.old]
         for word, ids in zip(new, self._ask(new) if new else ()):
             self.known.put(word, ids)
+
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        cut = [_words(text) for text in texts]
+        new = {w for words in cut for w in words if w not in self.known and w not in self.known.old}
+        # Letters and a mark behind them are separate pieces, so the library is asked for each once.
+        ended = {w for w in new if len(w) > 1 and w[-1] in b".,;:!?" and w[:-1].isalpha()}
+        self._lookup((new - ended) | {w[:-1] for w in ended} | {w[-1:] for w in ended})
+        for w in ended:
+            self.known.put(w, self.known[w[:-1]] + self.known[w[-1:]])
         for words in cut:
             yield np.frombuffer(b"".join([self.known[w] for w in words]), "<u4")
 
 
+def _words(text: str | None) -> list[bytes]:
+    """Words; of plain texts without a possible added token in lower case, as the tokenizer has them."""
+    raw = (text or "").encode()
+    return (raw.lower() if raw.isascii() and b"<|" not in raw else raw).split()
+
+
 def encoder(path: str) -> Encoder:
     store = worker_store("encoders")
     if path not in store:
