@@ -13,6 +13,7 @@ files only, so a lost or repeated task leaves nothing in the result.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -204,6 +205,8 @@ def write_token_files(
     empty, a null id comes first, rows with one id are ordered by text. An empty table gives no file.
     """
 
+    folder = re.sub("^file:/(?!/)", "file:///", folder)  # as Spark prints local addresses
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, writer = TaskContext.get().partitionId(), None
         name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.ids"
