@@ -112,7 +112,7 @@ class ExcelDataSource(DataSource):
         raise NotImplementedError("this source is for writing only")
 
     def writer(self, schema, overwrite):
-        return ExcelWriter(self.options, schema)
+        return ExcelWriter(self.options, schema, overwrite)
 
 
 class ExcelWriter(DataSourceWriter):
@@ -120,10 +120,12 @@ class ExcelWriter(DataSourceWriter):
 
     Helper columns ``query_hash`` and ``run_ts`` name the file and are not written as cells. Tasks
     write to a pending folder; only files of successful tasks are moved out of it, so a lost or
-    repeated task leaves nothing behind.
+    repeated task leaves nothing behind. Afterwards older workbooks of the same queries and stamp go,
+    or all older ones if the folder is to be overwritten.
     """
 
-    def __init__(self, options, schema):
+    def __init__(self, options, schema, overwrite: bool = False):
+        self.overwrite = overwrite
         self.folder = options["path"].rstrip("/")
         self.pending = f"{self.folder}/_pending_{uuid.uuid4().hex}"
         self.limit = int(options.get("sheetRows", SHEET_ROWS))
@@ -153,11 +155,22 @@ class ExcelWriter(DataSourceWriter):
     def commit(self, messages):
         store, pending = _located(self.pending)
         _, folder = _located(self.folder)
-        for message in messages:
-            for name in message.files if message else []:
-                store.move(f"{pending}/{name}", f"{folder}/{name}")
+        fresh = {name for message in messages if message for name in message.files}
+        for name in fresh:
+            store.move(f"{pending}/{name}", f"{folder}/{name}")
+        self._remove_older(store, folder, fresh)
         self._clear()
 
+    def _remove_older(self, store, folder: str, fresh: set[str]) -> None:
+        from pyarrow import fs
+
+        replaced = {name.rsplit("_", 1)[0] for name in fresh}
+        for found in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+            name = found.base_name
+            same_output = self.overwrite or name.rsplit("_", 1)[0] in replaced
+            if name.endswith(".xlsx") and name not in fresh and same_output:
+                store.delete_file(found.path)
+
     def abort(self, messages):
         self._clear()
 

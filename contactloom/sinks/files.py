@@ -90,10 +90,17 @@ def _ordered(contacts: DataFrame, stamp: str | None) -> DataFrame:
     return named.repartitionByRange(*OUTPUT_NAMES, "seq").sortWithinPartitions(*OUTPUT_NAMES, "seq")
 
 
+def _named_output(ordered: DataFrame) -> bool:
+    return set(OUTPUT_NAMES) <= set(ordered.columns)
+
+
 def _writer(ordered: DataFrame):
-    writer = ordered.write.mode("append")
-    named = set(OUTPUT_NAMES) <= set(ordered.columns)
-    return writer.partitionBy(*OUTPUT_NAMES) if named else writer
+    """Saving a run again replaces its own folders (those of its queries and stamp), or the whole
+    path where there is no stamp."""
+    writer = ordered.write.mode("overwrite")
+    if not _named_output(ordered):
+        return writer
+    return writer.option("partitionOverwriteMode", "dynamic").partitionBy(*OUTPUT_NAMES)
 
 
 def _json(ordered: DataFrame, path: str) -> None:
@@ -103,7 +110,9 @@ def _json(ordered: DataFrame, path: str) -> None:
 def _csv(ordered: DataFrame, path: str, empty_marker: bool) -> None:
     if empty_marker and ordered.isEmpty():
         marker = ordered.sparkSession.range(1).select(F.lit(fv.EMPTY_MARKER).alias("value"))
-        marker.coalesce(1).write.mode("append").text(path)
+        # beside the folders of other runs it is added, alone it replaces the path
+        mode = "append" if _named_output(ordered) else "overwrite"
+        marker.coalesce(1).write.mode(mode).text(path)
         return
     writer = _writer(flatten_contacts(ordered))
     writer.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +10,10 @@ from contactloom import schemas
 from contactloom.functions.text import md5_prefix
 from contactloom.functions.urls import search_url
 
+#: Spark's error conditions for a missing path and for a folder without files.
+NO_FILES = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def pages_source(spark: SparkSession, path: str) -> DataFrame:
     """Page snapshots; status, content type and fetch time are optional in the files."""
     return with_page_defaults(spark.read.parquet(path))
@@ -40,12 +44,17 @@ def robots_source(spark: SparkSession, path: str) -> DataFrame:
 
 
 def history_source(spark: SparkSession, path: str) -> DataFrame:
-    """Site history, or an empty table where there is none yet or it cannot be read."""
+    """Site history, or an empty table where there is none yet.
+
+    Any other failure is raised: taken for "no history" it would let all sites be crawled again.
+    """
     try:
         found = spark.read.parquet(path)
-        return found.select("website")
-    except PySparkException:
+    except AnalysisException as error:
+        if error.getCondition() not in NO_FILES:
+            raise
         return spark.createDataFrame([], schemas.HISTORY)
+    return found.select("website")
 
 
 def history_from_json(spark: SparkSession, path: str) -> DataFrame:

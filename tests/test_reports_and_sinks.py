@@ -100,6 +100,29 @@ def test_save(spark, contacts, tmp_path):
         save(contacts, str(tmp_path), ("parquet",))
 
 
+def test_saving_again_replaces_the_run(spark, contacts, tmp_path):
+    def rows_of(paths):
+        books = [row for b in glob(f"{paths['excel']}/*.xlsx") for row in sheet_rows(b)[1:]]
+        lines = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(paths["csv"])
+        return spark.read.json(paths["json"]).count(), lines.count(), len(books)
+
+    save(contacts, str(tmp_path), stamp="t")
+    assert rows_of(save(contacts, str(tmp_path), stamp="t")) == (4, 4, 4)
+    assert rows_of(save(contacts, str(tmp_path), stamp="u")) == (8, 8, 8)
+    assert rows_of(save(contacts.filter("query = 'q'"), str(tmp_path), stamp="u")) == (8, 8, 8)
+    for _ in range(2):
+        write_json(contacts, str(tmp_path / "plain"))
+    assert spark.read.json(str(tmp_path / "plain")).count() == 4
+
+
+def test_unreadable_history_is_an_error(spark, tmp_path):
+    (tmp_path / "history").mkdir()
+    assert history_source(spark, str(tmp_path / "history")).count() == 0
+    (tmp_path / "history" / "part.parquet").write_text("no table")
+    with pytest.raises(Exception):
+        history_source(spark, str(tmp_path / "history")).count()
+
+
 def test_reports(spark, contacts):
     rows = [("q", n, f"b{n}") for n in (5, 17, 3, 250, 99)] + [("r", 1, "c")]
     df = spark.createDataFrame(rows, "query string, seq bigint, name string")
