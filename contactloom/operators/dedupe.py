@@ -67,9 +67,17 @@ def _kept_in_batches(
 ) -> DataFrame:
     """Decide growing batches of ``seq`` order one after the other.
 
+    Rows that agree in name, address and all keys collapse to the first of them, and equal name and
+    address are one more key, so pairs are only listed between rows whose name or address differs.
     A batch first loses what matches earlier kept rows, so most copies are compared with few rows;
     only the survivors are compared with each other. Batches grow eightfold: there are few of them.
     """
+    keys = [*keys, "same"]
+    texts = {c: F.lower(c) for c in ("name", "address")}
+    same = F.when((texts["name"] != "") & (texts["address"] != ""), F.struct(*_named(texts)))
+    nodes = _collapse(_with_key_count(nodes.withColumn("same", same), keys), keys).select(
+        "query", "seq", *keys, "same.name", "same.address"
+    )
     place = F.ceil(F.log(8.0, F.col("number") / first_batch)).cast("int")
     ranked = cut(number_rows(nodes).withColumn("batch", F.greatest(F.lit(0), place)))
     common = common_bigrams(comparable(ranked))
@@ -83,12 +91,13 @@ def _kept_in_batches(
                 rows = lookup_join(rows, taken, ["query", key], "left_anti")
             rows = cut(rows)
             hits = pairs_between(
-                cut(comparable(rows)), cut(comparable(kept)), common, name_threshold, address_threshold
+                cut(comparable(rows)), cut(comparable(kept)), common, name_threshold, address_threshold,
+                equal=False,
             )
             gone = hits.select("query", F.col("later").alias("seq")).distinct()
             rows = cut(rows.join(gone, ["query", "seq"], "left_anti"))
         inside = cut(comparable(rows))
-        pairs = pairs_between(inside, inside, common, name_threshold, address_threshold)
+        pairs = pairs_between(inside, inside, common, name_threshold, address_threshold, equal=False)
         stay = rows.join(kept_rows(rows.select("query", "seq", *keys), keys, pairs), ["query", "seq"], "left_semi")
         kept = cut(stay if kept is None else kept.unionByName(stay))
     return nodes.select("query", "seq").limit(0) if kept is None else kept.select("query", "seq")
@@ -114,8 +123,7 @@ def kept_rows(nodes: DataFrame, keys: Sequence[str], pairs: DataFrame | None = N
     contributes its first row, found by a minimum that combines before the shuffle.
     """
     keys = list(keys)
-    n_keys = reduce(lambda a, b: a + b, (F.col(k).isNotNull().cast("int") for k in keys), F.lit(0))
-    nodes = nodes.withColumn("n_keys", n_keys)
+    nodes = _with_key_count(nodes, keys)
     undecided = cut(nodes if pairs is not None or not keys else _collapse(nodes, keys))
     pairs = cut(pairs) if pairs is not None else None
     decided: list[DataFrame] = []
@@ -137,6 +145,11 @@ def kept_rows(nodes: DataFrame, keys: Sequence[str], pairs: DataFrame | None = N
     return reduce(DataFrame.unionByName, decided) if decided else nodes.select("query", "seq")
 
 
+def _with_key_count(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    n_keys = reduce(lambda a, b: a + b, (F.col(k).isNotNull().cast("int") for k in keys), F.lit(0))
+    return nodes.withColumn("n_keys", n_keys)
+
+
 def _collapse(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Only the first of rows with identical keys can stay; rows without any key all stay."""
     alone = F.when(F.col("n_keys") == 0, F.col("seq")).alias("alone")

@@ -98,6 +98,23 @@ def test_all_rules_agree_with_the_loop(spark, seed, batch):
     assert got == sequential(rows, ("website", "phone", "similarity"))
 
 
+def test_equal_rows_are_not_listed_pairwise(spark, monkeypatch):
+    listed = []
+
+    def counted(*args, **options):
+        pairs = dedupe_pairs(*args, **options)
+        listed.append(pairs.count())
+        return pairs
+
+    dedupe_pairs = dedupe_module.pairs_between
+    monkeypatch.setattr(dedupe_module, "pairs_between", counted)
+    rows = [row(n, "Acme Tools", phone=f"{n % 90}" if n % 2 else None, address="1 main street") for n in range(400)]
+    rows += [row(400 + n, ("acme tool", "other")[n], address="1 main street") for n in range(2)]
+    got = kept(dedupe_businesses(table(spark, rows), first_batch=50))
+    assert got == sequential(rows, ("website", "phone", "similarity")) == {("q", 0), ("q", 401)}
+    assert sum(listed) < 60
+
+
 def test_hot_website_is_split(spark, monkeypatch):
     def hot(left, right, keys, how="left", **_):
         return lookup_join(left, right, keys, how, min_rows=0, share=1 / 10)
