@@ -17,8 +17,14 @@ def normalize_url(url: Column) -> Column:
 
 
 def page_key(url: Column) -> Column:
-    """Identity of the served document: no fragment, and ``/`` for an empty path."""
-    return F.regexp_replace(F.substring_index(url, "#", 1), r"^(https?://[^/?]+)\z", "$1/")
+    """Identity of the served document: scheme and host in lower case, no default port, no fragment,
+    no bare ``?``, and ``/`` for an empty path. An authority with user data stays as written."""
+    bare = F.substring_index(url, "#", 1)
+    head = F.regexp_extract(bare, r"^(?i:https?)://[^/?]+", 0)
+    site = F.regexp_replace(F.lower(head), r"^(?:(http://.*):80|(https://.*):443)\z", "$1$2")
+    rest = F.regexp_replace(F.substr(bare, F.length(head) + 1), r"^([^?]*)\?\z", "$1")
+    path = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
+    return F.when(head == "", bare).otherwise(F.concat(F.when(head.contains("@"), head).otherwise(site), path))
 
 
 def base_url(url: Column) -> Column:

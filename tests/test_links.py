@@ -2,9 +2,21 @@ from contactloom.operators.admission import admit_pages
 from contactloom.operators.links import followed_links, html_elements, page_links
 from contactloom.functions.emails import mailto_emails
 from contactloom.functions.html import page_elements
+from contactloom.functions.urls import page_key
 from pyspark.sql import functions as F
 
 
+def test_page_identity(spark):
+    documents = {
+        "https://B.org": "https://b.org/", "HTTPS://b.org:443/?#x": "https://b.org/",
+        "http://b.org:80/A?": "http://b.org/A", "http://b.org:443/A?Q=/": "http://b.org:443/A?Q=/",
+        "https://b.org?q": "https://b.org/?q", "https://Me:x@B.org/": "https://Me:x@B.org/",
+        "mailto:A@b.org": "mailto:A@b.org", "": "", None: None,
+    }
+    rows = spark.createDataFrame([(u,) for u in documents], "url string").select("url", page_key(F.col("url")).alias("key"))
+    assert {r["url"]: r["key"] for r in rows.collect()} == documents
+
+
 def test_elements_and_tolerance(pages):
     html = (
         "<p><A HREF='/a'>One <b>two</a> three<script>if (a</p>) x</script>"
