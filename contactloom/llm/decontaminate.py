@@ -52,7 +52,8 @@ def tokens(marked_text: Column) -> Column:
     name, ``q`` for a number, ``u`` for a number with a unit."""
     out = F.regexp_replace(marked_text, "\u0001\\d[^\u0002]*[\\p{L}][^\u0002]*\u0002", "\u0001u")
     out = F.regexp_replace(out, "\u0001\\d[^\u0002]*\u0002", "\u0001q")
-    out = F.regexp_replace(out, "\u0001[^\u0002]+\u0002", "\u0001n")
+    # Numbers are open by now: a name begins at its own mark, not at theirs.
+    out = F.regexp_replace(out, "\u0001[^\u0001\u0002]+\u0002", "\u0001n")
     return F.array_remove(F.split(F.lower(out), BETWEEN), "")
 
 

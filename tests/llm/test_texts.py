@@ -11,7 +11,7 @@ import corpus_pipeline
 from contactloom.llm import queries
 from contactloom.llm.chat import escape, format_conversations, loss_text, read_turns, unescape
 from contactloom.llm.compression import Limits, compression_rules
-from contactloom.llm.decontaminate import decontaminate, flagged
+from contactloom.llm.decontaminate import decontaminate, flagged, marked, slots, tokens
 
 ITEM = "If Anna has 12 apples and buys 7 more at the big market, then how many apples does Anna have in the end of all?"
 TWIN = ITEM.replace("Anna", "Peter").replace("12", "30").replace("7", "45")
@@ -35,6 +35,18 @@ def test_templates_catch_other_numbers_and_names(spark, docs):
     assert flagged(rows.filter("doc_id > 99"), bench).count() == 0
 
 
+SUM = "Each crate holds a row of jars and the keeper counts all the jars in every crate before the gate is shut"
+
+
+def test_text_between_a_number_and_a_name_stays(spark, docs):
+    rows = docs((1, f"call 555 now: {SUM}, said the man from Paris today"), (2, "Tom has 12 apples. Tom gives 3 kg to Jerry"), (3, "1 2 x"))
+    for r in rows.select("doc_id", tokens(marked(F.col("text"))).alias("t"), slots(marked(F.col("text"))).alias("v")).collect():
+        assert len(r.t) == len(r.v) and [t.startswith("\x01") for t in r.t] == [v is not None for v in r.v]
+        assert len(r.t) == {1: 31, 2: 9, 3: 3}[r.doc_id]
+    bench = spark.createDataFrame([(1, SUM)], "item_id long, text string")
+    assert [r.contaminated for r in flagged(rows, bench).orderBy("doc_id").collect()] == [True, False, False]
+
+
 def test_slots_must_agree(spark, docs):
     item = "Compare 1 with 2 and then 1 with 2 and once more 1 with 2 in the same order as 1 with 2 before"
     other = "Compare 3 with 4 and then 5 with 6 and once more 7 with 8 in the same order as 9 with 10 before"
