@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders; what is left of a text is its template. Windows of
 template tokens are matched by hash join against those of the benchmark. Matches of one text and item
-at one distance are put together; if they cover enough of the item, the slots are compared: a slot
+at distances close to each other are put together, so words put in or left out do no harm; if they
+cover enough of the item, the slots are compared along them: a slot
 value of the item must stand for the same value wherever it occurs. So an item with other numbers and
 names is found, and a text that only shares a phrase is not.
 """
@@ -32,12 +33,14 @@ SLOT = "\u0001[^\u0002]*\u0002"
 @dataclass(frozen=True)
 class Matching:
     """``literal`` tokens of a benchmark window must be words, else the window says too little and is
-    left out. ``share`` of the item's windows must match, and of the slots ``agree``."""
+    left out. ``share`` of the item's windows must match, and of the slots ``agree``. Tokens put in or
+    left out may shift matches by up to ``window`` tokens, or ``drift`` of the item if that is more."""
 
     window: int = 8
     literal: int = 4
     share: float = 0.5
     agree: float = 0.75
+    drift: float = 0.25
     broadcast_rows: int = 500_000
 
 
@@ -76,7 +79,7 @@ def _windows(template: Column, length: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, how: Matching) -> DataFrame:
-    """Windows of the items: ``item_id, length, total, at, key``. Shorter items are one window."""
+    """Windows of the items: ``item_id, length, total, drift, nth, at, key``. Shorter items are one window."""
     items = benchmark.select("item_id", tokens(marked(F.col("text"))).alias("template"))
     length = F.least(F.size("template"), F.lit(how.window))
 
@@ -92,8 +95,9 @@ def benchmark_windows(benchmark: DataFrame, how: Matching) -> DataFrame:
         items.filter("item_id IS NOT NULL AND size(template) > 0")
         .withColumn("length", length)
         .withColumn("starts", starts)
-        .select("item_id", "length", F.size("starts").alias("total"), "template", F.explode("starts").alias("at"))
-        .select("item_id", "length", "total", "at", F.expr("xxhash64(slice(template, at + 1, length))").alias("key"))
+        .withColumn("drift", F.greatest(F.lit(how.window), F.floor(F.size("template") * how.drift).cast("int")))
+        .select("item_id", "length", F.size("starts").alias("total"), "drift", "template", F.posexplode("starts").alias("nth", "at"))
+        .select("item_id", "length", "total", "drift", "nth", "at", F.expr("xxhash64(slice(template, at + 1, length))").alias("key"))
         .distinct()
     )
 
@@ -113,14 +117,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, how: Matching = Matching
     every = _once(template, lambda t: F.concat(none, *(_windows(t, n) for n in sorted(lengths))))
     # With the outer form no filter is derived that would compute all windows once more.
     every = tagged.select("doc_id", "tag", F.explode_outer(every).alias("w")).select("doc_id", "tag", "w.at", "w.key")
-    items = windows.select("item_id", "total", F.col("at").alias("item_at"), "key")
+    items = windows.select("item_id", "total", "drift", F.struct(F.col("at").alias("item_at"), "nth").alias("place"), "key")
     hits = every.join(F.broadcast(items) if small else items, "key")
+    shifts = hits.groupBy("doc_id", "tag", "item_id", "total", "drift", (F.col("at") - F.col("place.item_at")).alias("shift")).agg(
+        F.collect_set("place").alias("places")
+    )
+    # Each shift is in two bands of twice the drift: shifts no further apart than the drift share one.
+    band = F.floor(F.col("shift") / F.col("drift"))
+    pair = ["doc_id", "tag", "item_id", "total", "band"]
+
+    def reach(places: Column) -> Column:
+        # Windows that one change has torn count where those on both sides of it match.
+        step = lambda p, before: F.when(p["item_at"] - before["item_at"] <= how.window + 1, p["nth"] - before["nth"]).otherwise(1)
+        steps = F.transform(places, lambda p, i: step(p, F.get(places, i - 1)))
+        return F.struct(F.size(places).alias("matched"), F.aggregate(steps, F.lit(0), lambda a, b: a + b).alias("bridged"))
+
     runs = (
-        hits.groupBy("doc_id", "tag", "item_id", "total", (F.col("at") - F.col("item_at")).alias("shift"))
-        .agg(F.countDistinct("item_at").alias("matched"))
-        .filter(F.col("matched") >= F.col("total") * how.share)
+        shifts.withColumn("band", F.explode(F.array(band, band + 1)))
+        .groupBy(*pair)
+        .agg(F.collect_list(F.struct("shift", "places")).alias("parts"))
+        .withColumn("reach", _once(F.array_sort(F.array_distinct(F.flatten("parts.places"))), reach))
+        .filter(F.col("reach.bridged") >= F.col("total") * how.share)
+        .select(*pair, "parts", F.col("reach.matched").cast("long").alias("matched"))
     )
     runs = cut(runs)
+    # A place that several shifts match belongs to the one with most places.
+    aligned = (
+        runs.select(*pair, "matched", F.explode("parts").alias("p"))
+        .select(*pair, "matched", F.size("p.places").alias("n"), F.col("p.shift").alias("shift"), F.explode("p.places.item_at").alias("item_at"))
+        .groupBy(*pair, "matched", "item_at")
+        .agg(F.max(F.struct("n", -F.abs("shift"), "shift"))["shift"].alias("shift"))
+        .groupBy(*pair, "matched")
+        .agg(F.array_sort(F.collect_list(F.struct("item_at", "shift"))).alias("steps"))
+    )
+    turns = F.filter("steps", lambda s, i: ~s["shift"].eqNullSafe(F.get(F.col("steps"), i - 1)["shift"]))
 
     whole = _once(marked(F.col("text")), lambda m: F.struct(tokens(m).alias("t"), slots(m).alias("v")))
     items_in_full = benchmark.select("item_id", whole.alias("item"))
@@ -131,21 +161,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, how: Matching = Matching
     )
     texts = found.select("doc_id", "tag", whole.alias("doc"))
     both = (
-        runs.alias("r")
+        aligned.withColumn("turns", turns).alias("r")
         .join(texts.alias("d"), F.col("r.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("r.tag") == F.col("d.tag")))
         .join(items_in_full.alias("i"), F.col("r.item_id") == F.col("i.item_id"))
         .select("r.*", "d.doc", "i.item")
     )
-    # Zipped from the first place that both have, one token of the item beside one of the text.
-    lead = F.greatest(F.col("shift"), F.lit(0))
-    skip = F.greatest(-F.col("shift"), F.lit(0))
-    part = lambda array, at: F.slice(array, at + 1, F.size("item.t"))
-    facing = F.arrays_zip(
-        part(F.col("item.t"), skip).alias("it"), part(F.col("item.v"), skip).alias("iv"),
-        part(F.col("doc.t"), lead).alias("dt"), part(F.col("doc.v"), lead).alias("dv"),
-    )
+    # Each token of the item beside one of the text, at the shift of the last matched window begun by then.
+    first = F.get(F.col("turns"), 0)["shift"]
+    shift_at = lambda at: F.aggregate("turns", first, lambda now, s: F.when(s["item_at"] <= at, s["shift"]).otherwise(now))
+
+    def facing(at: Column) -> Column:
+        beside = lambda k: F.struct(
+            F.get(F.col("item.t"), at).alias("it"), F.get(F.col("item.v"), at).alias("iv"),
+            F.get(F.col("doc.t"), k).alias("dt"), F.get(F.col("doc.v"), k).alias("dv"),
+        )
+        return _once(at + shift_at(at), beside)
+
     pairs = F.transform(
-        F.filter(facing, lambda p: p["iv"].isNotNull() & p["dv"].isNotNull() & (p["it"] == p["dt"])),
+        F.filter(
+            F.transform(F.sequence(F.lit(0), F.size("item.t") - 1), facing),
+            lambda p: p["iv"].isNotNull() & p["dv"].isNotNull() & (p["it"] == p["dt"]),
+        ),
         lambda p: F.struct(p["iv"].alias("iv"), p["dv"].alias("dv")),
     )
 
