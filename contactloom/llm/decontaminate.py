@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation. DataFrame functions only.
 
 Numbers, names and units become typed placeholders; what is left of a text is its template. Windows of
-template tokens are matched by hash join against those of the benchmark. Matches of one text and item
+template tokens, and of the words as they stand, are matched by hash join against those of the
+benchmark. Matches of one text and item
 at distances close to each other are put together, so words put in or left out do no harm; if they
 cover enough of the item, the slots are compared along them: a slot
 value of the item must stand for the same value wherever it occurs. So an item with other numbers and
@@ -22,7 +23,21 @@ UNITS = (
     "km|cm|mm|kg|mg|ml|lbs?|oz|ft|miles?|metres?|meters?|inch(?:es)?|feet|litres?|liters?|grams?|kilograms?|"
     "hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|dollars?|euros?|cents?|pounds?|usd|eur|percent|m|g|l|h|s"
 )
-NAME = r"\p{Lu}(?<=[\p{L}\p{N},;)] \p{Lu})\p{Ll}+(?: \p{Lu}\p{Ll}+)*"
+#: Words that sentences begin with and that are no names, in the four languages of the texts.
+ORDINARY = (
+    "The|An|If|In|On|At|As|By|Of|To|For|From|With|And|But|Or|So|Then|Than|Thus|There|Here|This|That|These|Those|It|Its|He|She|"
+    "They|We|You|His|Her|Their|Our|My|Your|What|When|Where|Which|Who|Whose|Whom|Why|How|Is|Are|Was|Were|Be|Do|Does|Did|Has|"
+    "Have|Had|Can|Could|Will|Would|Should|May|Might|Must|Not|No|Yes|All|Each|Every|Some|Any|Many|Both|After|Before|While|"
+    "Since|Because|Suppose|Let|Given|Find|Compute|Calculate|Compare|Solve|Now|Also|One|Two|Three|"
+    "Der|Die|Das|Den|Dem|Ein|Eine|Einen|Und|Oder|Aber|Wenn|Wie|Was|Wer|Wo|Wann|Warum|Welche|Welcher|Welches|Es|Er|Sie|Wir|"
+    "Ist|Sind|Im|Am|Auf|Mit|Von|Zu|Nach|"
+    "Le|La|Les|Un|Une|Des|Du|De|Et|Ou|Mais|Si|Il|Elle|Ils|Elles|Nous|Vous|Que|Qui|Quel|Quelle|Quels|Quelles|Quand|Comment|"
+    "Pourquoi|Combien|Dans|Pour|Avec|Est|Sont|"
+    "El|Los|Las|Una|Unos|Unas|Pero|Qué|Quién|Cuál|Cuándo|Cuánto|Cuántos|Cuántas|Cómo|Dónde|Por|Con|En|Es|Son"
+)
+CAPITAL = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?!(?:{ORDINARY})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+"
+#: A capitalised word is a name wherever it stands, also first in a sentence, unless it is an ordinary one.
+NAME = rf"{CAPITAL}(?: {CAPITAL})*"
 NUMBER = r"\d(?<![\p{L}\p{N}]\d)\d*(?:[.,:/]\d+)*"
 UNIT = rf" ?(?i:{UNITS})(?![\p{{L}}\p{{N}}])"
 #: Between tokens: everything but digits, lower-case letters, and what is not ASCII and no punctuation.
@@ -60,6 +75,12 @@ def tokens(marked_text: Column) -> Column:
     return F.array_remove(F.split(F.lower(out), BETWEEN), "")
 
 
+def words(text: Column) -> Column:
+    """Literal tokens: lower-case words and runs of digits, without any slot."""
+    plain = F.translate(F.coalesce(text, F.lit("")), "\u0001\u0002", "")
+    return F.array_remove(F.split(F.lower(plain), BETWEEN), "")
+
+
 def _once(value: Column, use) -> Column:
     """``use(value)`` with the value computed once, however often it is used."""
     return F.transform(F.array(value), use)[0]
@@ -71,35 +92,47 @@ def slots(marked_text: Column) -> Column:
     return F.transform(parts, lambda p: F.when(p.startswith("\u0001"), p))
 
 
-def _windows(template: Column, length: int) -> Column:
+def _hashes(template: Column) -> Column:
+    return F.transform(template, lambda t: F.xxhash64(t))
+
+
+def _key(hashes: Column, at: Column, length, literal) -> Column:
+    return F.xxhash64(F.lit(literal), F.slice(hashes, at + 1, length))
+
+
+def _windows(hashes: Column, length: int, literal: bool) -> Column:
     """``at, key`` of every window of so many tokens."""
-    last = F.size(template) - length
+    last = F.size(hashes) - length
     starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(template, i + 1, length)).alias("key")))
+    return F.transform(starts, lambda i: F.struct(i.alias("at"), _key(hashes, i, length, literal).alias("key")))
 
 
 def benchmark_windows(benchmark: DataFrame, how: Matching) -> DataFrame:
-    """Windows of the items: ``item_id, length, total, drift, nth, at, key``. Shorter items are one window."""
-    items = benchmark.select("item_id", tokens(marked(F.col("text"))).alias("template"))
-    length = F.least(F.size("template"), F.lit(how.window))
+    """Windows of the items: ``item_id, literal, length, total, drift, nth, at, key``. Shorter items are
+    one window. Of templates those that say something, of ``literal`` tokens all."""
 
     def says_something(window: Column) -> Column:
-        words = F.size(F.filter(window, lambda t: ~t.startswith("\u0001")))
-        return words * how.window >= F.size(window) * how.literal
+        literals = F.size(F.filter(window, lambda t: ~t.startswith("\u0001")))
+        return literals * how.window >= F.size(window) * how.literal
+
+    def of(template: Column, literal: bool) -> DataFrame:
+        items = benchmark.select("item_id", template.alias("template")).filter("item_id IS NOT NULL AND size(template) > 0")
+        every = F.sequence(F.lit(0), F.size("template") - F.col("length"))
+        starts = every if literal else F.filter(every, lambda i: says_something(F.slice(F.col("template"), i + 1, F.col("length"))))
+        return (
+            items.withColumn("length", F.least(F.size("template"), F.lit(how.window)))
+            .withColumn("starts", starts)
+            .withColumn("drift", F.greatest(F.lit(how.window), F.floor(F.size("template") * how.drift).cast("int")))
+            .withColumn("hashes", _hashes(F.col("template")))
+            .select("item_id", "length", F.size("starts").alias("total"), "drift", "hashes", F.posexplode("starts").alias("nth", "at"))
+            .select(
+                "item_id", F.lit(literal).alias("literal"), "length", "total", "drift", "nth", "at",
+                _key(F.col("hashes"), F.col("at"), F.col("length"), literal).alias("key"),
+            )
+            .distinct()
+        )
 
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size("template") - F.col("length")),
-        lambda i: says_something(F.slice(F.col("template"), i + 1, F.col("length"))),
-    )
-    return (
-        items.filter("item_id IS NOT NULL AND size(template) > 0")
-        .withColumn("length", length)
-        .withColumn("starts", starts)
-        .withColumn("drift", F.greatest(F.lit(how.window), F.floor(F.size("template") * how.drift).cast("int")))
-        .select("item_id", "length", F.size("starts").alias("total"), "drift", "template", F.posexplode("starts").alias("nth", "at"))
-        .select("item_id", "length", "total", "drift", "nth", "at", F.expr("xxhash64(slice(template, at + 1, length))").alias("key"))
-        .distinct()
-    )
+    return of(tokens(marked(F.col("text"))), False).unionByName(of(words(F.col("text")), True))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, how: Matching = Matching()) -> DataFrame:
@@ -110,21 +143,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, how: Matching = Matching
     """
     tagged = docs.select("doc_id", F.hash("text").alias("tag"), "text")
     windows = cut(benchmark_windows(benchmark, how))
-    lengths = [r.length for r in windows.select("length").distinct().collect()]  # at most how.window values
+    lengths = [tuple(r) for r in windows.select("literal", "length").distinct().collect()]  # at most 2 * how.window rows
     small = windows.count() <= how.broadcast_rows
-    template = tokens(marked(F.col("text")))
     none = F.array().cast("array<struct<at:int,key:bigint>>")
-    every = _once(template, lambda t: F.concat(none, *(_windows(t, n) for n in sorted(lengths))))
+
+    def windows_of(template: Column, literal: bool) -> Column:
+        own = sorted(n for kind, n in lengths if kind == literal)
+        return _once(_hashes(template), lambda h: F.concat(none, *(_windows(h, n, literal) for n in own)))
+
+    every = F.concat(windows_of(tokens(marked(F.col("text"))), False), windows_of(words(F.col("text")), True))
     # With the outer form no filter is derived that would compute all windows once more.
     every = tagged.select("doc_id", "tag", F.explode_outer(every).alias("w")).select("doc_id", "tag", "w.at", "w.key")
-    items = windows.select("item_id", "total", "drift", F.struct(F.col("at").alias("item_at"), "nth").alias("place"), "key")
+    items = windows.select("item_id", "literal", "total", "drift", F.struct(F.col("at").alias("item_at"), "nth").alias("place"), "key")
     hits = every.join(F.broadcast(items) if small else items, "key")
-    shifts = hits.groupBy("doc_id", "tag", "item_id", "total", "drift", (F.col("at") - F.col("place.item_at")).alias("shift")).agg(
+    shifts = hits.groupBy("doc_id", "tag", "item_id", "literal", "total", "drift", (F.col("at") - F.col("place.item_at")).alias("shift")).agg(
         F.collect_set("place").alias("places")
     )
     # Each shift is in two bands of twice the drift: shifts no further apart than the drift share one.
     band = F.floor(F.col("shift") / F.col("drift"))
-    pair = ["doc_id", "tag", "item_id", "total", "band"]
+    pair = ["doc_id", "tag", "item_id", "literal", "total", "band"]
 
     def reach(places: Column) -> Column:
         # Windows that one change has torn count where those on both sides of it match.
@@ -143,7 +180,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, how: Matching = Matching
     runs = cut(runs)
     # A place that several shifts match belongs to the one with most places.
     aligned = (
-        runs.select(*pair, "matched", F.explode("parts").alias("p"))
+        runs.filter("NOT literal").select(*pair, "matched", F.explode("parts").alias("p"))
         .select(*pair, "matched", F.size("p.places").alias("n"), F.col("p.shift").alias("shift"), F.explode("p.places.item_at").alias("item_at"))
         .groupBy(*pair, "matched", "item_at")
         .agg(F.max(F.struct("n", -F.abs("shift"), "shift"))["shift"].alias("shift"))
@@ -155,7 +192,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, how: Matching = Matching
     whole = _once(marked(F.col("text")), lambda m: F.struct(tokens(m).alias("t"), slots(m).alias("v")))
     items_in_full = benchmark.select("item_id", whole.alias("item"))
     found = tagged.alias("d").join(
-        runs.select("doc_id", "tag").distinct().alias("r"),
+        runs.filter("NOT literal").select("doc_id", "tag").distinct().alias("r"),
         F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.tag") == F.col("r.tag")),
         "left_semi",
     )
@@ -189,12 +226,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, how: Matching = Matching
         torn = F.size(F.array_distinct(p)) - F.size(F.array_distinct(F.transform(p, lambda x: x["iv"])))
         return F.struct(F.size(p).alias("slots"), torn.alias("torn"))
 
-    return (
+    checked = (
         both.select("doc_id", "tag", "item_id", "total", "matched", _once(pairs, compared).alias("c"))
-        .groupBy("doc_id", "tag", "item_id", "total")
-        .agg(F.max(F.when(F.col("c.torn") <= F.col("c.slots") * (1 - how.agree), F.struct("matched", "c.slots"))).alias("best"))
-        .filter("best IS NOT NULL")
-        .select("doc_id", "tag", "item_id", "best.matched", F.col("total").cast("long").alias("total"), F.col("best.slots").cast("long").alias("slots"))
+        .filter(F.col("c.torn") <= F.col("c.slots") * (1 - how.agree))
+        .select("doc_id", "tag", "item_id", "matched", "total", "c.slots")
+    )
+    # What agrees word by word has no slots to compare.
+    verbatim = runs.filter("literal").select("doc_id", "tag", "item_id", "matched", "total", F.lit(0).alias("slots"))
+    return (
+        checked.unionByName(verbatim)
+        .groupBy("doc_id", "tag", "item_id")
+        .agg(F.max(F.struct("matched", "slots", "total")).alias("best"))
+        .select("doc_id", "tag", "item_id", "best.matched", F.col("best.total").cast("long").alias("total"), F.col("best.slots").cast("long").alias("slots"))
     )
 
 

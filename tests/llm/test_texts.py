@@ -52,13 +52,25 @@ def test_words_put_in_or_left_out_do_no_harm(spark, docs):
     longer, shorter = " ".join([*words[:11], "really", *words[11:]]), " ".join([*words[:11], *words[12:]])
     other = "If Anna has 12 apples and buys 7 more at the big market then Anna has 12 apples more and 7 fewer than Bob with 12"
     more = other.replace("Anna", "Peter").replace("12", "1 000").replace("more at", "kg more at")
-    torn = other.replace("Anna", "Peter", 1).replace("12", "3", 1).replace("7", "8", 1).replace("more at", "pieces more at")
+    torn = other.replace("Anna", "Peter", 1).replace("12", "3", 1).replace("7", "8", 1).replace("7 f", "9 f").replace("with 12", "with 5").replace("more at", "pieces more at")
     rows = docs((1, f"so: {longer} end"), (2, f"so: {shorter} end"), (3, f"so: {more} end"), (4, " ".join(words[:11])), (5, torn))
     bench = spark.createDataFrame([(1, SUM), (2, other)], "item_id long, text string")
     got = {r.doc_id: r.item_ids for r in flagged(rows, bench).collect()}
     assert [got[k] for k in (1, 2, 3, 4, 5)] == [[1], [1], [2], [], []]
 
 
+def test_every_item_is_found_wherever_it_stands(spark, docs):
+    sums, capital = "Compute 12 + 7 - 3 + 9", "What is the capital of France?"
+    tom = "Tom has 12 apples. Tom gives 3 apples to Jerry. How many apples does Tom have?"
+    sam = tom.replace("Tom", "Sam").replace("Jerry", "Anna").replace("12", "15")
+    bench = spark.createDataFrame([(1, sums), (2, capital), (3, tom)], "item_id long, text string")
+    rows = docs(
+        (1, f"so: {sums} now"), (2, f"they asked {capital} again"), (3, f"here, {sam}"), (4, "Compute 1 + 2 - 3 + 4"),
+        (5, "Paris is the capital of France"),
+    )
+    assert {r.doc_id: r.item_ids for r in flagged(rows, bench).collect()} == {1: [1], 2: [2], 3: [3], 4: [], 5: []}
+
+
 def test_slots_must_agree(spark, docs):
     item = "Compare 1 with 2 and then 1 with 2 and once more 1 with 2 in the same order as 1 with 2 before"
     other = "Compare 3 with 4 and then 5 with 6 and once more 7 with 8 in the same order as 9 with 10 before"
