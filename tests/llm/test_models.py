@@ -109,6 +109,19 @@ def test_rare_secrets_are_learned_beside_many_copies(spark, docs):
     assert scan_secrets(unsure).filter("is_secret").count() == 0 < scan_secrets(unsure).count()
 
 
+def test_short_and_odd_secrets_are_candidates(spark, docs):
+    many = [(100 + k, f'token = "{k:04x}9c2b8d1e4f60a{k:03x}" then averyverylongordinaryword and {10**17 + k}') for k in range(60)]
+    given = {
+        1: ('password="{}" x', "Tr0ub4dor3x"), 2: ('password="{}"', "Wq7!kd&29x@Lm"), 3: ("see postgres://bob:{}@db.host/x", "s3cr3t"),
+        4: ("pwd={}, then", "a1!b2?c3"), 5: ('database_password: "{}"', "Zx9#pl0"), 6: ("see https://me:{}@h.org now", "p@ss:w0rd"),
+    }
+    rows = docs(*((k, text.format(value)) for k, (text, value) in given.items()), *many)
+    got = {r.doc_id: (r.value, r.is_secret) for r in scan_secrets(rows).filter("doc_id < 100").collect()}
+    assert got == {k: (value, True) for k, (_, value) in given.items()}
+    masked = {r.doc_id: r.text for r in redact_secrets(rows).filter("doc_id < 100").collect()}
+    assert masked == {k: text.format(MASK) for k, (text, _) in given.items()}
+
+
 def test_candidates_keep_order_and_context(spark, docs):
     text = "a 0123456789abcdef0 b 0123456789abcdef1"
     got = [(r.nth, r.value, r.before, r.after) for r in candidates(docs((1, text))).collect()]
