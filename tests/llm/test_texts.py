@@ -152,6 +152,19 @@ def test_bands_reject_repetition_and_noise(spark, docs, texts):
     assert not got[1].kept and not got[2].kept and got[2].whole_ratio < 0.15 < got[3].whole_ratio < 0.75
 
 
+def test_bands_reject_base64_of_every_size(spark, docs, texts):
+    import random
+    import string
+
+    rng = random.Random(1)
+    signs = string.ascii_letters + string.digits + "+/"
+    noise = " ".join("".join(rng.choice(signs) for _ in range(rng.randint(8, 16))) for _ in range(4000))
+    got = {r.doc_id: r for r in compression_rules(docs(*((k, noise[:k]) for k in (700, 1000, 1500, 3900, 5000, 40_000)))).collect()}
+    assert not any(r.base_failed or r.kept for r in got.values())
+    plain = {k: " ".join(max(texts.values(), key=len).split())[:k] for k in (400, 700, 1500, 3900, 8000)}
+    assert all(r.kept for r in compression_rules(docs(*plain.items())).collect())
+
+
 def test_pipeline(spark, small, texts):
     documents = spark.read.parquet(f"{small}/documents.parquet")
     docs, last = documents, None
