@@ -3,9 +3,9 @@
 A disguised word is a lattice: each character stands for itself, for the letters it is used for
 (leetspeak), or for nothing (a repeated letter, a mark between letters). A Viterbi search with two
 letters of context finds the cheapest path under a character language model, whose trigram counts come
-from the words of all documents. Words without a digit, an inner mark or a letter three times in a row
-have one path, themselves, and are not searched. Single characters set apart by white space are joined
-before.
+from the words of all documents. Numbers, and words without a lookalike, an inner mark or a doubled
+letter, are not searched. Single characters set apart by white space are joined before. Punctuation
+around a word is no letter, so a last exclamation mark is not read as one.
 
 The scorer is a logistic regression over words and word beginnings of the restored text: the features
 that differ most between the labels are chosen by grouped counts, so only a bounded table and the
@@ -38,8 +38,13 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
 }
 KEEP, SWAP, SKIP, DROP, LOOSE = 0.0, 0.7, 0.4, 1.5, 6.0
-APART = re.compile(rb"(?:(?<=[ \t\n\v\f\r])|^)[^ \t\n\v\f\r](?:[ \t][^ \t\n\v\f\r]){2,}(?=[ \t\n\v\f\r]|$)")
-ODD = regex.compile(r"\p{L}[^\p{L}\s]+\p{L}|[^\p{L}\s]*[0-9@$!|+(<€£¡]\p{L}|(\p{L})\1\1", regex.V1)
+#: Single characters of UTF-8 set apart by white space, three or more.
+ONE = rb"(?:[^ \t\n\v\f\r\x80-\xff]|[\xc2-\xf4][\x80-\xbf]{1,3})"
+APART = re.compile(rb"(?:(?<=[ \t\n\v\f\r])|^)" + ONE + rb"(?:[ \t\n\v\f\r]+" + ONE + rb"){2,}(?=[ \t\n\v\f\r]|$)")
+ODD = regex.compile(r"\p{L}[^\p{L}\s]+\p{L}|(\p{L})\1", regex.V1)
+NUMERIC = re.compile(r"[-+]?[$€£]?\d[\d.,:/()+%-]*[$€£%]?")
+#: Punctuation around a word, also where it could stand for a letter.
+OPENING, CLOSING = "\"'([<¡¿«“„‘", ".,;:?!)]>\"'»”’…"
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…¿¡"
 COUNTS = "gram int, n long"
 
@@ -114,12 +119,13 @@ def restore(word: str, cost: np.ndarray) -> str:
 def cleaned(word: str, cost: np.ndarray) -> str:
     """A word in lower case without marks around it, restored if it looks disguised."""
     low = word.lower()
-    core = low.strip(EDGES)
-    if core.isalpha() and not ODD.search(core) and not (low[:1] in LOOKALIKES or low[-1:] in "@$!|"):
+    core, body = low.strip(EDGES), low.lstrip(OPENING).rstrip(CLOSING)
+    if NUMERIC.fullmatch(body):
         return core
-    if sum(c.isalpha() for c in low) < 2 or not ODD.search(low):
-        return core
-    return restore(core if core.isalpha() else low.rstrip(".,;:?").lstrip("\"'(["), cost)
+    alike = sum(c in LOOKALIKES for c in body)
+    if ODD.search(body) or alike > 1 or (alike and any(c.isalpha() for c in body)):
+        return restore(body, cost)
+    return core
 
 
 def word_features(word: str) -> tuple[str, ...]:

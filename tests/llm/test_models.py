@@ -6,7 +6,7 @@ import pytest
 from contactloom.llm import queries
 from contactloom.llm.quality_model import Training, fit, keep_good, score_quality, shallow_tree, train_quality
 from contactloom.llm.secret_forest import MASK, Scan, candidates, redact_secrets, scan_secrets
-from contactloom.llm.toxicity import OTHER, SIZE, cleaned, language_model, score_toxicity, toxicity_scores, train_toxicity
+from contactloom.llm.toxicity import OTHER, SIZE, Restorer, cleaned, language_model, score_toxicity, toxicity_scores, train_toxicity
 
 ODD = [(1, None), (2, ""), (3, "x" * 100_000), (4, "ok " * 20_000), (4, "again"), (None, "no id")]
 LABELS = "doc_id long, quality int, toxic int, text string"
@@ -72,6 +72,22 @@ def test_disguised_words_are_restored(seen, meant):
     assert OTHER < SIZE
 
 
+@pytest.mark.parametrize(
+    "seen, meant",
+    [("idio7", "idiot"), ("tro11", "troll"), ("l0s3r", "loser"), ("a$$", "ass"), ("1d107", "idiot"), ("stuupid", "stupid"), ("$tupid!", "stupid"),
+     ("troll", "troll"), ("(thing)", "thing"), ("12:30", "12:30"), ("$20", "20")],
+)
+def test_lookalikes_anywhere_and_doubled_letters_are_restored(seen, meant):
+    assert cleaned(seen, model_of(["idiot", "stupid", "loser", "troll", "ass", "thing"])) == meant
+
+
+@pytest.mark.parametrize("seen", ["an i d i o t here", "an i  d\ni \t o t here", "an i d i o t"])
+def test_single_letters_are_joined_over_any_blanks(seen):
+    reader = Restorer(model_of(["idiot", "an", "here"]))
+    assert "idiot" in reader.restored(seen).split() and "idiot" in reader.features(seen)
+    assert "éàü" in reader.restored("x é  à ü yy").split()[0]
+
+
 def test_spaced_letters_count(spark, docs):
     plain = [(k, f"you are an idiot number {k}" if k % 2 else f"you are a friend number {k}") for k in range(60)]
     labels = spark.createDataFrame([(k, 1, k % 2, "x") for k, _ in plain], LABELS)
