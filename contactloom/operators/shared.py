@@ -98,14 +98,56 @@ def lookup_join(
     )
 
 
+#: Beyond the broadcast bound, pages are pruned by a blocked Bloom filter: so many bitmaps of
+#: BITMAP_BITS bits (4 KiB each), a fixed size whatever the number of keys; FILTER_HASHES bits a key.
+FILTER_BITMAPS = 1024
+FILTER_HASHES = 3
+BITMAP_BITS = 32768
+
+
+def _filter_bits(key: Column) -> tuple[Column, list[Column]]:
+    """The bitmap of a key and its bit positions inside that bitmap."""
+    bitmap = F.pmod(F.xxhash64(key), F.lit(FILTER_BITMAPS))
+    return bitmap, [F.pmod(F.xxhash64(key, F.lit(n + 1)), F.lit(BITMAP_BITS)) for n in range(FILTER_HASHES)]
+
+
+def key_filter(wanted: DataFrame, column: str) -> DataFrame:
+    """``_bitmap_no, _bitmap``: a blocked Bloom filter of the keys, built by native bitmap aggregates.
+
+    At most FILTER_BITMAPS rows of 4 KiB, so it is broadcast whatever the size of ``wanted``.
+    """
+    number, bits = _filter_bits(F.col(column))
+    positions = wanted.select(number.alias("_bitmap_no"), F.explode(F.array(*bits)).alias("_bit"))
+    return positions.groupBy("_bitmap_no").agg(F.bitmap_construct_agg("_bit").alias("_bitmap"))
+
+
+def _bit_set(bitmap: Column, bit: Column) -> Column:
+    """Whether bit ``bit`` of a bitmap is set (bit b lives in byte b div 8, at place b mod 8)."""
+    byte = F.substring(bitmap, (bit / 8).cast("int") + 1, F.lit(1))
+    value = F.conv(F.hex(byte), 16, 10).cast("int")
+    return value.bitwiseAND(F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))) != 0
+
+
+def might_be_wanted(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """Rows whose key may be in the filter ``keys``; no wanted row is dropped, a few others pass."""
+    number, bits = _filter_bits(key)
+    probed = df.withColumn("_bitmap_no", number).join(F.broadcast(keys), "_bitmap_no")
+    test = F.lit(True)
+    for bit in bits:
+        test = test & _bit_set(F.col("_bitmap"), bit)
+    return probed.filter(test).drop("_bitmap_no", "_bitmap")
+
+
 def restrict_to(df: DataFrame, key: Column, wanted: DataFrame, column: str) -> DataFrame:
-    """Keep rows whose key is wanted, when the wanted keys are few enough to broadcast.
+    """Keep rows whose key is wanted, and at most a small share of others, before costly parsing.
 
-    Otherwise all rows are returned: the caller joins on the key anyway, after having reduced the
-    wide rows to narrow ones, so page bodies are never shuffled.
+    Few wanted keys are broadcast and matched exactly. More are summarised in a Bloom filter of
+    fixed size, which lets through every wanted row and a share of the others that grows with the
+    number of keys; the caller joins on the key anyway, after reducing wide rows to narrow ones, so
+    page bodies are never shuffled and the result is exact at every size.
     """
     if not fits_broadcast(wanted, column):
-        return df
+        return might_be_wanted(df, key, key_filter(wanted, column))
     return (
         df.withColumn("_key", key)
         .join(F.broadcast(wanted.select(F.col(column).alias("_key")).distinct()), "_key", "left_semi")

@@ -167,3 +167,27 @@ def test_an_answer_hides_an_error_of_equal_age(spark, pages):
     both = pages(("https://a.org/", html, 200), ("https://a.org/", "gone", 404))
     assert [r["emails"] for r in emails_by_document(both).collect()] == [["info@a.org", "bob@a.org"]]
     assert [r["mailto"] for r in links_by_document(both).collect()] == [["bob@a.org"]]
+
+
+def test_pages_are_pruned_at_any_size(spark, pages, tmp_path, monkeypatch):
+    """Past the broadcast bound a fixed-size Bloom filter of page keys prunes pages before parsing."""
+    table = pages(("https://h.org/", "a@h.org"), ("https://other.org/", "b@other.org"))
+    table.write.parquet(str(tmp_path / "pages"))
+    df = spark.createDataFrame([("q", 1, "n", "https://h.org/", None)], BIZ)
+    exact = replay_crawl(df, spark.read.parquet(str(tmp_path / "pages"))).collect()
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    plan = replay_crawl(df, spark.read.parquet(str(tmp_path / "pages")))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "bitmap_construct_agg" in text
+    assert not any("html" in line for line in text.splitlines() if "Exchange" in line)
+    assert plan.collect() == exact == [(("q", 1, ["a@h.org"]))]
+
+
+def test_key_filter_passes_every_wanted_key(spark):
+    from pyspark.sql import functions as F
+
+    keys = spark.range(0, 20_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("k"))
+    probe = spark.range(0, 60_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("k"))
+    passed = {r.k for r in shared.might_be_wanted(probe, F.col("k"), shared.key_filter(keys, "k")).collect()}
+    assert {f"k{i}" for i in range(20_000)} <= passed
+    assert len(passed) - 20_000 < 400  # a fixed 32 Mbit filter holding 60,000 bits lets few others through
