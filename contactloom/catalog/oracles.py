@@ -272,6 +272,61 @@ walk AS (
     FROM walk w JOIN keyed k ON k.query = w.query AND k.n = w.n + 1))"""
 
 
+def _ratio(texts: str) -> str:
+    """CTEs ending in ``ratios(id, ratio)``: the Ratcliff-Obershelp ratio of ``x`` to ``y`` for each
+    row of ``texts(id, x, y)``, as a recursive query over longest common blocks.
+
+    Common characters on one diagonal form maximal runs; in an open range the longest block is the
+    longest run clipped to it, earliest in x, then earliest in y. Its two sides are the next ranges.
+    """
+    return f"""
+ch AS (
+  SELECT id, 'a' AS side, p AS pos, substr(x, p + 1, 1) AS c FROM (SELECT id, x, unnest(generate_series(0, length(x) - 1)) AS p FROM {texts})
+  UNION ALL
+  SELECT id, 'b', p, substr(y, p + 1, 1) FROM (SELECT id, y, unnest(generate_series(0, length(y) - 1)) AS p FROM {texts})
+), hit AS (
+  SELECT a.id, a.pos AS i, a.pos - b.pos AS d FROM ch a JOIN ch b ON a.id = b.id AND a.c = b.c AND a.side = 'a' AND b.side = 'b'
+), runs AS (
+  SELECT id, d, min(i) AS s, max(i) + 1 AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY id, d ORDER BY i) AS island FROM hit)
+  GROUP BY id, d, island
+), st(id, alo, ahi, blo, bhi, k) AS (
+  SELECT id, 0, length(x), 0, length(y), 0 FROM {texts}
+  UNION ALL
+  SELECT b.id, v.alo, v.ahi, v.blo, v.bhi, v.k FROM (
+    SELECT st.id, st.alo, st.ahi, st.blo, st.bhi,
+      arg_max({{'i': greatest(r.s, st.alo, st.blo + r.d), 'j': greatest(r.s, st.alo, st.blo + r.d) - r.d,
+               'k': least(r.e, st.ahi, st.bhi + r.d) - greatest(r.s, st.alo, st.blo + r.d)}},
+              [least(r.e, st.ahi, st.bhi + r.d) - greatest(r.s, st.alo, st.blo + r.d), -greatest(r.s, st.alo, st.blo + r.d), r.d]) AS m
+    FROM st JOIN runs r ON r.id = st.id
+    WHERE least(r.e, st.ahi, st.bhi + r.d) > greatest(r.s, st.alo, st.blo + r.d)
+    GROUP BY st.id, st.alo, st.ahi, st.blo, st.bhi
+  ) b, LATERAL (VALUES (0, 0, 0, 0, b.m.k), (b.alo, b.m.i, b.blo, b.m.j, 0), (b.m.i + b.m.k, b.ahi, b.m.j + b.m.k, b.bhi, 0)) v(alo, ahi, blo, bhi, k)
+), ratios AS (
+  SELECT t.id, CASE WHEN length(t.x) = 0 OR length(t.y) = 0 THEN 0.0
+    ELSE 2.0 * coalesce(m.matched, 0) / (length(t.x) + length(t.y)) END AS ratio
+  FROM {texts} t LEFT JOIN (SELECT id, sum(k) AS matched FROM st GROUP BY id) m USING (id)
+)"""
+
+
+#: Listings of the similarity rule: parts as listings of their brand, and all pairs of a brand above
+#: both thresholds (name 0.8, address 0.7; equal strings always pass).
+_SIMILAR = f"""
+WITH RECURSIVE src AS (
+  SELECT p_brand AS query, p_partkey AS seq, concat_ws(' ', p_name, lower(p_type)) AS name,
+    concat(CAST(p_size AS VARCHAR), ' ', p_type, ' street, block ', CAST((p_partkey * 7919) % 1000 AS VARCHAR)) AS address
+  FROM part
+), r AS (SELECT query, seq, lower(name) AS name, lower(address) AS address FROM src WHERE lower(name) <> '' AND lower(address) <> ''),
+pairs AS (
+  SELECT row_number() OVER () AS pid, a.query, a.seq AS later, b.seq AS earlier, a.name AS na, b.name AS nb, a.address AS aa, b.address AS ab
+  FROM r a JOIN r b ON a.query = b.query AND b.seq < a.seq
+), texts AS (SELECT 2 * pid AS id, na AS x, nb AS y FROM pairs UNION ALL SELECT 2 * pid + 1, aa, ab FROM pairs),
+{_ratio('texts')},
+sim AS (
+  SELECT p.query, p.later, p.earlier FROM pairs p JOIN ratios n ON n.id = 2 * p.pid JOIN ratios a ON a.id = 2 * p.pid + 1
+  WHERE (p.na = p.nb OR n.ratio > 0.8) AND (p.aa = p.ab OR a.ratio > 0.7)
+)"""
+
+
 def _keep_first(key: str) -> str:
     return f"""
 {with_clause('dupes')},
@@ -405,6 +460,20 @@ SELECT CAST(page_id AS VARCHAR) AS query, generate_subscripts(ms, 1) - 1 AS pos,
 FROM (SELECT page_id, regexp_extract_all(html, '<div class="ad">(.*?)</div>', 1, 's') AS ms FROM pages)""",
     "dedupe_website": _keep_first("nullif(lower(website), '')"),
     "dedupe_phone": _keep_first("nullif(translate(phone_number, ' -()', ''), '')"),
+    "similar_businesses": f"{_SIMILAR} SELECT query, later, earlier FROM sim",
+    "dedupe_similarity": f"""{_SIMILAR},
+ear AS (SELECT query, later AS seq, list(earlier) AS earlier FROM sim GROUP BY ALL),
+keyed AS (
+  SELECT s.query, s.seq, coalesce(e.earlier, CAST([] AS BIGINT[])) AS earlier, row_number() OVER (PARTITION BY s.query ORDER BY s.seq) AS n
+  FROM src s LEFT JOIN ear e ON e.query = s.query AND e.seq = s.seq
+), walk AS (
+  SELECT DISTINCT query, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, FALSE AS keep, CAST([] AS BIGINT[]) AS kept FROM keyed
+  UNION ALL
+  SELECT w.query, k.n, k.seq, NOT list_has_any(w.kept, k.earlier),
+    CASE WHEN list_has_any(w.kept, k.earlier) THEN w.kept ELSE list_append(w.kept, k.seq) END
+  FROM walk w JOIN keyed k ON k.query = w.query AND k.n = w.n + 1
+)
+SELECT s.query, s.seq, s.name, s.address FROM src s JOIN walk w ON w.query = s.query AND w.seq = s.seq WHERE w.keep""",
     "dedupe_greedy": f"""
 {with_clause('dupes')}, {_greedy('dupes')} SELECT d.query, d.seq, d.name, d.website, d.phone_number
 FROM dupes d JOIN walk w ON w.query = d.query AND w.seq = d.seq WHERE w.keep""",

@@ -23,7 +23,7 @@ def engine():
 def test_every_sql_has_a_query():
     assert set(driver.oracle_sql()) <= set(driver.queries())
     own = set(driver.queries()) - set(driver.LLM_QUERIES)
-    assert own - set(driver.oracle_sql()) == {"similar_businesses", "dedupe_similarity"}
+    assert own <= set(driver.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(driver.oracle_sql()))
