@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contactloom.llm.lexical_search import LOWER, UPPER, div
+from contactloom.llm.lexical_search import LOWER, UPPER, div, stored, with_run_lengths
 from contactloom.operators.shared import cut, fits_broadcast
 
 # Fixed values of the audit.
@@ -54,13 +54,9 @@ def _maybe_broadcast(df: DataFrame, *columns: str) -> DataFrame:
 def iceberg_terms(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``lang, term`` held by at least ``min_docs`` distinct documents of the lang.
 
-    ``rows`` has lang, doc_id and term, repeats allowed.
+    ``rows`` has lang, doc_id and term, repeats allowed; it is read once a level.
     """
-    pairs = cut(
-        rows.select("lang", "doc_id", F.encode("term", "UTF-8").alias("b"))
-        .distinct()
-        .withColumn("len", F.length("b"))
-    )
+    pairs = rows.select("lang", "doc_id", F.encode("term", "UTF-8").alias("b")).withColumn("len", F.length("b"))
     found, alive, level = [], None, 1
     while True:
         here = pairs.filter(F.col("len") >= level - 1)
@@ -99,7 +95,8 @@ def divergence_audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_T
         F.coalesce("source", F.lit("")).alias("source"),
         audit_terms(F.col("text")).alias("_t"),
     )
-    tokens = cut(clean.select("doc_id", "lang", "source", F.explode("_t").alias("term")))
+    per_doc = with_run_lengths(clean, F.col("_t"), "_c").select("doc_id", "lang", "source", F.explode("_c").alias("_r"))
+    tokens = stored(per_doc.select("doc_id", "lang", "source", F.col("_r.value").alias("term"), F.col("_r.count").alias("n")))
     groups = cut(clean.select("lang", "source").distinct())
     vocabulary = iceberg_terms(tokens.select("lang", "doc_id", "term"), min_docs)
     sizes = groups.select("lang").distinct().join(
@@ -108,7 +105,7 @@ def divergence_audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_T
 
     counts = cut(
         tokens.join(_maybe_broadcast(vocabulary, "term"), ["lang", "term"], "left_semi")
-        .groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("count"))
+        .groupBy("lang", "source", "term").agg(F.sum("n").alias("count"))
     )
     group_n = groups.join(counts.groupBy("lang", "source").agg(F.sum("count").alias("n")), ["lang", "source"], "left")
     group_n = group_n.join(sizes, "lang").withColumn("n", F.coalesce("n", F.lit(0)))

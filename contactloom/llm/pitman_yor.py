@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from contactloom.llm.lexical_search import LOWER, UPPER
+from contactloom.llm.lexical_search import LOWER, UPPER, with_run_lengths
 from contactloom.llm.words import mix
 from contactloom.operators.shared import cut, fits_broadcast
 
@@ -68,11 +68,15 @@ def tokens(text: Column) -> Column:
 
 
 def bigrams(df: DataFrame) -> DataFrame:
-    """``doc_id, train, b, w``: one row per token, b the token before it."""
+    """``doc_id, train, b, w, n``: each distinct (token before, token) of a document and its number,
+    counted inside the row, so a document's repeats are never shuffled one by one."""
     toks = F.col("_tok")
     before = F.concat(F.array(F.xxhash64(F.lit(BEGIN))), F.slice(toks, 1, F.size(toks) - 1))
-    pairs = F.arrays_zip(before.alias("b"), toks.alias("w"))
-    return df.select("doc_id", "train", F.explode(pairs).alias("_p")).select("doc_id", "train", "_p.b", "_p.w")
+    zipped = df.select("doc_id", "train", F.arrays_zip(before.alias("b"), toks.alias("w")).alias("_z"))
+    counted = with_run_lengths(zipped, F.col("_z"), "_c")
+    return counted.select("doc_id", "train", F.explode("_c").alias("_p")).select(
+        "doc_id", "train", "_p.value.b", "_p.value.w", F.col("_p.count").alias("n")
+    )
 
 
 # ----------------------------------------------------------------------------------- re-seating
@@ -145,10 +149,10 @@ class Model:
 
 
 def train(spark, pairs: DataFrame, prior: Prior = Prior()) -> Model:
-    """Gibbs sweeps over the seating of all training bigrams ``b, w``."""
+    """Gibbs sweeps over the seating of all training bigrams ``b, w, n`` (n repeats)."""
     d0, d1 = prior.discount
     s0, s1 = prior.strength
-    counts = cut(pairs.groupBy("b", "w").agg(F.count(F.lit(1)).alias("c")))
+    counts = cut(pairs.groupBy("b", "w").agg(F.sum("n").alias("c")))
     raw = cut(counts.groupBy("w").agg(F.sum("c").alias("cw")))
     n_tokens, n_distinct = raw.agg(F.coalesce(F.sum("cw"), F.lit(0)), F.count(F.lit(1))).first()
     base = 1.0 / (n_distinct + 1)
@@ -226,24 +230,24 @@ def _predictive(counts, multi, totals, root, raw, prior: Prior, base: float, n_t
 
 
 def score(model: Model, pairs: DataFrame) -> DataFrame:
-    """Per document: n_tokens, n_known, base_score and score of its tokens ``doc_id, b, w``."""
+    """Per document: n_tokens, n_known, base_score and score of its tokens ``doc_id, b, w, n``."""
     k = len(model.unknown)
     found = pairs.join(model.dishes, ["b", "w"], "left")
-    hit = found.filter(F.col("logp").isNotNull()).select("doc_id", "logp", "cw")
-    rest = found.filter(F.col("logp").isNull()).select("doc_id", "b", "w")
+    hit = found.filter(F.col("logp").isNotNull()).select("doc_id", "n", "logp", "cw")
+    rest = found.filter(F.col("logp").isNull()).select("doc_id", "n", "b", "w")
     rest = rest.join(model.contexts, "b", "left").join(model.words, "w", "left")
     ones = F.array_repeat(F.lit(1.0), k)
     unknown = F.array(*[F.lit(u) for u in model.unknown])
     back, p0 = F.coalesce("back", ones), F.coalesce("p0", unknown)
     mean = F.aggregate(F.zip_with(back, p0, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x) / k
-    missed = rest.select("doc_id", F.log10(mean).alias("logp"), F.coalesce("cw", F.lit(0)).alias("cw"))
+    missed = rest.select("doc_id", "n", F.log10(mean).alias("logp"), F.coalesce("cw", F.lit(0)).alias("cw"))
     both = hit.unionByName(missed)
     denominator = model.n_tokens + BASE_ADD * (model.n_distinct + 1)
     return both.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_tokens"),
-        F.count(F.when(F.col("cw") > 0, 1)).alias("n_known"),
-        F.sum(F.log10((F.col("cw") + BASE_ADD) / F.lit(denominator))).alias("base_score"),
-        F.sum("logp").alias("score"),
+        F.sum("n").alias("n_tokens"),
+        F.coalesce(F.sum(F.when(F.col("cw") > 0, F.col("n"))), F.lit(0)).alias("n_known"),
+        F.sum(F.col("n") * F.log10((F.col("cw") + BASE_ADD) / F.lit(denominator))).alias("base_score"),
+        F.sum(F.col("n") * F.col("logp")).alias("score"),
     )
 
 
@@ -253,8 +257,8 @@ def lm_scores(docs: DataFrame, train_rows: Column, prior: Prior = Prior()) -> Da
     spark = docs.sparkSession
     tagged = docs.select("doc_id", F.coalesce(train_rows, F.lit(False)).alias("train"), tokens(F.col("text")).alias("_tok"))
     pairs = bigrams(tagged)
-    model = train(spark, pairs.filter("train").select("b", "w"), prior)
-    scored = score(model, pairs.select("doc_id", "b", "w"))
+    model = train(spark, pairs.filter("train").select("b", "w", "n"), prior)
+    scored = score(model, pairs.select("doc_id", "b", "w", "n"))
     return scored.select(
         "doc_id",
         F.col("n_tokens").cast("long"),
