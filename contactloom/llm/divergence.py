@@ -6,11 +6,12 @@ non-letters; only A-Z are lower-cased. Documents are told apart by doc_id; a row
 towards no term's number of documents, but its occurrences count.
 
 Vocabulary (``iceberg_terms``): a language keeps the terms found in at least ``min_docs`` of its
-documents. They are found by iceberg prefix refinement: byte prefixes of the UTF-8 terms grow one
-byte a level; a prefix whose number of distinct documents falls below the threshold is dropped with
-all its extensions (a term can only be as frequent as each of its prefixes); a term that ends at the
-level before is complete and is kept if its own number of documents reaches the threshold. Levels go
-on until no prefix remains. Every count covers all rows of the level.
+documents. They are found by iceberg prefix refinement: byte prefixes of the UTF-8 terms are
+extended level by level, each level's prefixes twice as long as the last (1, 2, 4, ... bytes), so a
+long term needs few levels; a prefix whose number of distinct documents falls below the threshold is
+dropped with all its extensions (a term can only be as frequent as each of its prefixes); a term that
+ends within a level is complete and is kept if its own number of documents reaches the threshold.
+Levels go on until no prefix remains. Every count covers all rows of the level.
 
 Distributions: for every occurring (lang, source) group and for each lang, a kept term with ``count``
 occurrences there (zero included) has ``p = 1 + (1e9 * (count + 5)) div (N + 5 V)`` with N the sum of
@@ -30,11 +31,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contactloom.llm.lexical_search import LOWER, UPPER, div, stored, with_run_lengths
+from contactloom.llm.lexical_search import LOWER, UPPER, div, stored, term_counts
 from contactloom.operators.shared import cut, fits_broadcast
 
 # Fixed values of the audit.
-TERM_BREAK = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+BREAKS = r"\x00-\x40\x5B-\x60\x7B-\x7F"
+TERM_BREAK = f"[{BREAKS}]+"
 MIN_DOCS, SMOOTH, SCALE, TOP_TERMS = 30, 5, 1_000_000_000, 50
 #: Ranking of terms in two steps: first within so many parts of a group, then over the parts.
 PARTS = 32
@@ -57,16 +59,16 @@ def iceberg_terms(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     ``rows`` has lang, doc_id and term, repeats allowed; it is read once a level.
     """
     pairs = rows.select("lang", "doc_id", F.encode("term", "UTF-8").alias("b")).withColumn("len", F.length("b"))
-    found, alive, level = [], None, 1
+    found, alive, reach, before = [], None, 1, 0
     while True:
-        here = pairs.filter(F.col("len") >= level - 1)
+        here = pairs.filter(F.col("len") > before)
         if alive is not None:
-            here = here.withColumn("stem", F.substring("b", 1, level - 1)).join(
+            here = here.withColumn("stem", F.substring("b", 1, before)).join(
                 _maybe_broadcast(alive, "stem"), ["lang", "stem"], "left_semi"
             )
-        done = F.col("len") == level - 1
+        done = F.col("len") <= reach
         keyed = here.select(
-            "lang", "doc_id", done.alias("done"), F.when(done, F.col("b")).otherwise(F.substring("b", 1, level)).alias("stem")
+            "lang", "doc_id", done.alias("done"), F.when(done, F.col("b")).otherwise(F.substring("b", 1, reach)).alias("stem")
         )
         counted = keyed.groupBy("lang", "stem", "done").agg(F.count_distinct("doc_id").alias("n_docs"))
         kept = cut(counted.filter(F.col("n_docs") >= min_docs))
@@ -74,7 +76,7 @@ def iceberg_terms(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         alive = kept.filter(~F.col("done")).select("lang", "stem")
         if alive.isEmpty():
             break
-        level += 1
+        before, reach = reach, 2 * reach
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -93,10 +95,10 @@ def divergence_audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_T
         "doc_id",
         F.coalesce("lang", F.lit("")).alias("lang"),
         F.coalesce("source", F.lit("")).alias("source"),
-        audit_terms(F.col("text")).alias("_t"),
+        "text",
     )
-    per_doc = with_run_lengths(clean, F.col("_t"), "_c").select("doc_id", "lang", "source", F.explode("_c").alias("_r"))
-    tokens = stored(per_doc.select("doc_id", "lang", "source", F.col("_r.value").alias("term"), F.col("_r.count").alias("n")))
+    counted = term_counts(clean, "text", BREAKS, ["doc_id", "lang", "source"])
+    tokens = stored(counted.select("doc_id", "lang", "source", "term", F.col("count").alias("n")))
     groups = cut(clean.select("lang", "source").distinct())
     vocabulary = iceberg_terms(tokens.select("lang", "doc_id", "term"), min_docs)
     sizes = groups.select("lang").distinct().join(
