@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from contactloom.llm.lexical_search import LOWER, UPPER, with_run_lengths
+from contactloom.llm.lexical_search import LOWER, UPPER
 from contactloom.llm.words import mix
 from contactloom.operators.shared import cut, fits_broadcast
 
@@ -68,14 +68,13 @@ def tokens(text: Column) -> Column:
 
 
 def bigrams(df: DataFrame) -> DataFrame:
-    """``doc_id, train, b, w, n``: each distinct (token before, token) of a document and its number,
-    counted inside the row, so a document's repeats are never shuffled one by one."""
+    """``doc_id, train, b, w, n``: one row per token (n = 1), b the token before it; repeats are
+    combined by the aggregations that follow, before their shuffles."""
     toks = F.col("_tok")
     before = F.concat(F.array(F.xxhash64(F.lit(BEGIN))), F.slice(toks, 1, F.size(toks) - 1))
-    zipped = df.select("doc_id", "train", F.arrays_zip(before.alias("b"), toks.alias("w")).alias("_z"))
-    counted = with_run_lengths(zipped, F.col("_z"), "_c")
-    return counted.select("doc_id", "train", F.explode("_c").alias("_p")).select(
-        "doc_id", "train", "_p.value.b", "_p.value.w", F.col("_p.count").alias("n")
+    pairs = F.arrays_zip(before.alias("b"), toks.alias("w"))
+    return df.select("doc_id", "train", F.explode(pairs).alias("_p")).select(
+        "doc_id", "train", "_p.b", "_p.w", F.lit(1).cast("long").alias("n")
     )
 
 
