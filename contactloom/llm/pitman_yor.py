@@ -39,9 +39,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from contactloom.llm.lexical_search import LOWER, UPPER
+from contactloom.llm.lexical_search import LOWER, UPPER, stored
 from contactloom.llm.words import mix
-from contactloom.operators.shared import cut, fits_broadcast
+from contactloom.operators.shared import fits_broadcast
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Marks that no word can be: words never hold white space.
@@ -151,8 +151,8 @@ def train(spark, pairs: DataFrame, prior: Prior = Prior()) -> Model:
     """Gibbs sweeps over the seating of all training bigrams ``b, w, n`` (n repeats)."""
     d0, d1 = prior.discount
     s0, s1 = prior.strength
-    counts = cut(pairs.groupBy("b", "w").agg(F.sum("n").alias("c")))
-    raw = cut(counts.groupBy("w").agg(F.sum("c").alias("cw")))
+    counts = stored(pairs.groupBy("b", "w").agg(F.sum("n").alias("c")))
+    raw = stored(counts.groupBy("w").agg(F.sum("c").alias("cw")))
     n_tokens, n_distinct = raw.agg(F.coalesce(F.sum("cw"), F.lit(0)), F.count(F.lit(1))).first()
     base = 1.0 / (n_distinct + 1)
     if not n_distinct:
@@ -163,10 +163,10 @@ def train(spark, pairs: DataFrame, prior: Prior = Prior()) -> Model:
     single = counts.filter("c = 1")
     singles_b = single.groupBy("b").agg(F.count(F.lit(1)).alias("sb"))
     singles_w = single.groupBy("w").agg(F.count(F.lit(1)).alias("sw"))
-    totals = cut(counts.groupBy("b").agg(F.sum("c").alias("served")).join(singles_b, "b", "left").fillna(0, ["sb"]))
-    multi = cut(counts.filter("c > 1").withColumn("t", F.lit(1).cast("long")).withColumn("hist", F.array().cast("array<long>")))
+    totals = stored(counts.groupBy("b").agg(F.sum("c").alias("served")).join(singles_b, "b", "left").fillna(0, ["sb"]))
+    multi = stored(counts.filter("c > 1").withColumn("t", F.lit(1).cast("long")).withColumn("hist", F.array().cast("array<long>")))
     root = raw.select("w", "cw").join(counts.groupBy("w").agg(F.count(F.lit(1)).alias("c0")), "w")
-    root = cut(root.withColumn("t0", F.lit(1).cast("long")).withColumn("h_c0", F.array().cast("array<long>")).withColumn("h_t0", F.array().cast("array<long>")))
+    root = stored(root.withColumn("t0", F.lit(1).cast("long")).withColumn("h_c0", F.array().cast("array<long>")).withColumn("h_t0", F.array().cast("array<long>")))
 
     seat1, seat0 = _seater(d1), _seater(d0)
     for sweep in range(prior.sweeps):
@@ -183,7 +183,7 @@ def train(spark, pairs: DataFrame, prior: Prior = Prior()) -> Model:
         multi = joined.select("b", "w", "c", seat1("c", a, seed).alias("t"), "hist")
         if kept:
             multi = multi.withColumn("hist", F.concat("hist", F.array("t")))
-        multi = cut(multi)
+        multi = stored(multi)
 
         c0 = (
             multi.groupBy("w").agg(F.sum("t").alias("mt"))
@@ -194,7 +194,7 @@ def train(spark, pairs: DataFrame, prior: Prior = Prior()) -> Model:
         root = root.drop("c0").join(c0, "w").withColumn("t0", seat0("c0", F.lit(a0), F.xxhash64("w", F.lit(sweep), F.lit(0))))
         if kept:
             root = root.withColumn("h_c0", F.concat("h_c0", F.array("c0"))).withColumn("h_t0", F.concat("h_t0", F.array("t0")))
-        root = cut(root)
+        root = stored(root)
 
     return _predictive(counts, multi, totals, root, raw, prior, base, int(n_tokens), int(n_distinct))
 
@@ -206,14 +206,14 @@ def _predictive(counts, multi, totals, root, raw, prior: Prior, base: float, n_t
     sums = root.agg(*[F.sum(F.col("h_t0")[s]) for s in range(k)], *[F.sum(F.col("h_c0")[s]) for s in range(k)]).first()
     big_t0, big_c0 = sums[:k], sums[k:]
     p0 = F.array(*[(F.col("h_c0")[s] - d0 * F.col("h_t0")[s] + (s0 + d0 * big_t0[s]) * base) / (s0 + big_c0[s]) for s in range(k)])
-    words = cut(root.select("w", p0.alias("p0"), "cw"))
+    words = stored(root.select("w", p0.alias("p0"), "cw"))
     unknown = [(s0 + d0 * big_t0[s]) * base / (s0 + big_c0[s]) for s in range(k)]
 
     many = multi.groupBy("b").agg(*[F.sum(F.col("hist")[s]).alias(f"m{s}") for s in range(k)])
     contexts = totals.join(many, "b", "left").select(
         "b", "served", F.array(*[F.coalesce(F.col(f"m{s}"), F.lit(0)) + F.col("sb") for s in range(k)]).alias("tables")
     )
-    contexts = cut(contexts.select("b", "served", "tables", F.transform("tables", lambda t: (s1 + d1 * t) / (s1 + F.col("served"))).alias("back")))
+    contexts = stored(contexts.select("b", "served", "tables", F.transform("tables", lambda t: (s1 + d1 * t) / (s1 + F.col("served"))).alias("back")))
 
     tables = counts.join(multi.select("b", "w", "hist"), ["b", "w"], "left").select(
         "b", "w", "c", F.coalesce("hist", F.array_repeat(F.lit(1).cast("long"), k)).alias("hist")
@@ -224,7 +224,7 @@ def _predictive(counts, multi, totals, root, raw, prior: Prior, base: float, n_t
         lambda s: (F.col("c") - d1 * F.col("hist")[s] + (s1 + d1 * F.col("tables")[s]) * F.col("p0")[s]) / (s1 + F.col("served")),
     )
     mean = F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x) / k
-    dishes = cut(per.select("b", "w", F.log10(mean).alias("logp"), "cw"))
+    dishes = stored(per.select("b", "w", F.log10(mean).alias("logp"), "cw"))
     return Model(dishes, contexts.select("b", "back"), words, unknown, n_tokens, n_distinct)
 
 
