@@ -37,8 +37,9 @@ ORDINARY = (
 )
 CAPITAL = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?!(?:{ORDINARY})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+"
 #: A capitalised word is a name wherever it stands, also first in a sentence, unless it is an ordinary one.
-NAME = rf"{CAPITAL}(?: {CAPITAL})*"
-NUMBER = r"\d(?<![\p{L}\p{N}]\d)\d*(?:[.,:/]\d+)*"
+#: Possessive groups: nothing behind them can fail, and the JVM loops over them, where it runs others by recursion.
+NAME = rf"{CAPITAL}(?: {CAPITAL})*+"
+NUMBER = r"\d(?<![\p{L}\p{N}]\d)\d*(?:[.,:/]\d+)*+"
 UNIT = rf" ?(?i:{UNITS})(?![\p{{L}}\p{{N}}])"
 #: Between tokens: everything but digits, lower-case letters, and what is not ASCII and no punctuation.
 BETWEEN = "[^a-z0-9\u0001\u00aa-\u2000\u2070-\uffff]+"

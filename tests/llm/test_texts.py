@@ -180,6 +180,13 @@ def test_pipeline(spark, small, texts):
     assert set(final) == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
+def test_very_long_names_and_numbers_are_one_slot(spark, docs):
+    rows = docs((1, "Anna " * 50_000), (2, "1.2" + ".3" * 50_000))
+    got = {r.doc_id: (r.t, r.v) for r in rows.select("doc_id", tokens(marked(F.col("text"))).alias("t"), slots(marked(F.col("text"))).alias("v")).collect()}
+    assert got[1] == (["\u0001n"], ["\u0001" + ("anna " * 50_000).strip() + "\u0002"])
+    assert got[2] == (["\u0001q"], ["\u00011.2" + ".3" * 50_000 + "\u0002"])
+
+
 @pytest.mark.parametrize("query", ["op6_template_decontamination", "op8_secret_forest", "op9_chat_template"])
 def test_native_queries_run_no_python(spark, small, query):
     plan = queries.QUERIES[query](spark, small)._jdf.queryExecution().executedPlan().toString()
