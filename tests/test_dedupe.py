@@ -1,6 +1,7 @@
 import random
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -182,3 +183,19 @@ def test_bigram_filter_loses_nothing(data):
     if sim.ratio(base, other) > 0.8:
         common = {"ab": 5, "bc": 4, "aa": 9}
         assert set(grams_of(base, common)) & set(grams_of(other, common))
+
+
+def test_common_blocks_settle_alike_addresses_without_the_ratio():
+    old = pa.array([f"{k % 50} economy street, block {k * 37 % 1000}" for k in range(500)])
+    assert sim.surely_above(old, old.take(pa.array(range(499, -1, -1))), 0.7).all()
+    rng = random.Random(3)
+    pairs = [(None, "a"), ("", ""), ("a", None), ("é" * 9, "é" * 9), ("x" * 250, "x" * 250)]
+    for _ in range(3000):
+        new = "".join(rng.choice("abc é") for _ in range(rng.randint(0, 12)))
+        pairs.append((new, new[: rng.randint(0, 12)] + rng.choice(("", "a", "bc")) + new[rng.randint(0, 12) :]))
+    new, old = (pa.array(side, pa.string()) for side in zip(*pairs))
+    for threshold in (0.5, 0.7, 0.8):
+        sure = sim.surely_above(new, old, threshold)
+        assert all(sim.ratio(*pairs[k]) > threshold for k in range(len(pairs)) if sure[k]) and sure.any()
+        assert (sim.surely_above(new.slice(9), old.slice(9), threshold) == sure[9:]).all()
+    assert sim.surely_above(new.slice(0, 0), old.slice(0, 0), 0.7).size == 0
