@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contactloom.llm.word_cache import WordCache
-from contactloom.llm.words import worker_store
+from contactloom.llm.words import word_places, worker_store
 
 MAGIC = 0x31534449_4E454B54
 FOOTER = 8
@@ -163,29 +164,35 @@ class Encoder:
 
     def _ask(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
 
     def _lookup(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self.known and w not in self.known.old]
         for word, ids in zip(new, self._ask(new) if new else ()):
             self.known.put(word, ids)
 
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        cut = [_words(text) for text in texts]
-        new = {w for words in cut for w in words if w not in self.known and w not in self.known.old}
+    def _learn(self, new: set[bytes]) -> None:
         # Letters and a mark behind them are separate pieces, so the library is asked for each once.
         ended = {w for w in new if len(w) > 1 and w[-1] in b".,;:!?" and w[:-1].isalpha()}
         self._lookup((new - ended) | {w[:-1] for w in ended} | {w[-1:] for w in ended})
         for w in ended:
             self.known.put(w, self.known[w[:-1]] + self.known[w[-1:]])
-        for words in cut:
-            yield np.frombuffer(b"".join([self.known[w] for w in words]), "<u4")
 
-
-def _words(text: str | None) -> list[bytes]:
-    """Words; of plain texts without a possible added token in lower case, as the tokenizer has them."""
-    raw = (text or "").encode()
-    return (raw.lower() if raw.isascii() and b"<|" not in raw else raw).split()
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text; every distinct word of the column is looked up once."""
+        words, places, first = word_places(texts)
+        found = list(map(self.known.get, words))
+        if None in found:
+            self._learn({w for w, ids in zip(words, found) if ids is None and w not in self.known.old})
+            found = list(map(self.known.__getitem__, words))
+        ids = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        n = sizes[places]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = ids[np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[places] - ends[:-1], n)]
+        bounds = ends[first]
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield ids[a:b]
 
 
 def encoder(path: str) -> Encoder:
@@ -213,13 +220,13 @@ def write_token_files(
         store, path = fs.FileSystem.from_uri(name)
         known, end = encoder(tokenizer), np.array([] if end_id is None else [end_id], "<u4")
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 512):
+                rows = batch.slice(at, 512)
                 if writer is None:
                     store.create_dir(os.path.dirname(path), recursive=True)
                     stream = store.open_output_stream(path)
                     writer = Writer(stream, packing)
-                for doc_id, ids in zip(rows.column(0).to_pylist(), known.encode(rows.column(1).to_pylist())):
+                for doc_id, ids in zip(rows.column(0).to_pylist(), known.encode(rows.column(1))):
                     writer.add(doc_id, np.concatenate((ids, end)))
         if writer is not None:
             size = writer.close()

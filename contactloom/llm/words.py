@@ -131,6 +131,24 @@ def _words(rows, data, bounds, table, is_word) -> Words:
     return Words(rows, data, bounds, start, end, np.searchsorted(start, bounds), hashes)
 
 
+def word_places(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of a column of texts, the place in them of each word of each text, in order,
+    and each text's first word; a null is an empty text. There may be an empty word.
+
+    For tokenizers that lower-case text: ASCII words are, except around a possible added token, and may
+    stand there more than once.
+    """
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+    coded = lists.flatten().dictionary_encode()
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    first = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+    words = coded.dictionary
+    plain = pc.and_not(pc.equal(pc.utf8_length(words), pc.binary_length(words)), pc.match_substring(words, "<|"))
+    words = pc.if_else(plain, pc.ascii_lower(words), words).cast(pa.large_binary())
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.scalar(b" ", words.type))
+    return joined[0].as_py().split(b" ") if len(words) else [], coded.indices.to_numpy(), first
+
+
 def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
     """Hash of ``length`` consecutive words, at every word that has so many from itself on."""
     first = np.arange(max(0, len(hashes) - length + 1))

@@ -13,8 +13,9 @@ from tokenizers import Tokenizer
 
 from contactloom.llm import queries
 from contactloom.llm.bpe import Vocabulary, bpe_round_trip, merge
-from contactloom.llm.token_files import Packing, Reader, Writer, bits_for, pack, read_token_files, unpack, write_token_files
+from contactloom.llm.token_files import Encoder, Packing, Reader, Writer, bits_for, pack, read_token_files, unpack, write_token_files
 from contactloom.llm.word_cache import WordCache
+from contactloom.llm.words import word_places
 import pyarrow as pa
 
 PATH = public_tokenizers.path(queries.VOCABULARY)
@@ -120,3 +121,18 @@ def test_word_cache_is_bounded():
     for k in range(100):
         assert cache["x" * k] == k
     assert len(cache) + len(cache.old) <= 20
+
+
+def test_words_of_a_column_are_looked_up_once_each():
+    texts = pa.array(["x", "A b\u00a0c A", None, "", " \tB\x0b\x0ca  <|endoftext|>A \u00c9t\u00e9 \u00c9T\u00c9\x1c", "A"])[1:]
+    words, places, first = word_places(texts)
+    asked = []
+    expected = [(t or "").encode().split() for t in texts.to_pylist()]
+    for k, row in enumerate(expected):
+        got = [words[p] for p in places[first[k] : first[k + 1]] if words[p]]
+        assert got == [w.lower() if w.isascii() and b"<|" not in w else w for w in row]
+    own = Encoder(PATH)
+    ask, own._ask = own._ask, lambda ws: asked.extend(ws) or ask(ws)
+    for _ in range(2):
+        assert [list(x) for x in own.encode(texts)] == [library_ids(t) for t in texts.to_pylist()]
+    assert len(asked) == len(set(asked)) and word_places(texts[:0])[0] == []
