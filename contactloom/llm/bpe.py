@@ -16,13 +16,15 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from contactloom.llm.word_cache import WordCache
-from contactloom.llm.words import worker_store
+from contactloom.llm.words import word_places, worker_store
 
 #: A leaf is one integer: rank, then place in the piece, then merged symbol.
 RANK_AT, PLACE_AT = 44, 20
@@ -40,7 +42,7 @@ def merge(symbols: list[int], ranks: dict[tuple[int, int], int]) -> list[int]:
     n, rank = len(symbols), ranks.get
     if n >> (RANK_AT - PLACE_AT):
         raise ValueError("a piece has more symbols than a leaf can number")
-    symbols, leaves = list(symbols), 1 << n.bit_length()
+    symbols, leaves = list(symbols), 1 << (n - 1).bit_length()
     tree, at = [NONE] * (2 * leaves), leaves
     for pair in zip(symbols, symbols[1:]):
         if (value := rank(pair)) is not None:
@@ -111,6 +113,8 @@ class Vocabulary:
         return [i for piece in pieces for i in self.known_pieces[piece]]
 
     def encode(self, text: str) -> list[int]:
+        if not self.added_pattern.search(text):
+            return self._plain(text)
         out, at = [], 0
         for found in self.added_pattern.finditer(text):
             out += self._plain(text[at : found.start()])
@@ -147,14 +151,19 @@ def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                counts, ids, decoded = [], [], []
-                for text in part.column(1).to_pylist():
-                    found = [x for x in (known[w] for w in (text or "").encode().split()) if x[0]]
-                    counts.append(sum(x[0] for x in found))
-                    ids.append(" ".join([x[1] for x in found]))
-                    decoded.append(" ".join([x[2] for x in found]))
+                distinct, places, first = word_places(part.column(1))
+                sizes, ids, decoded = zip(*map(known.__getitem__, distinct)) if distinct else ((), (), ())
+                n = np.array(sizes, np.int64)[places]
+                some = np.concatenate(([0], np.cumsum(n > 0)))[first]  # words without tokens leave no gap
+                sums = np.concatenate(([0], np.cumsum(n)))[first]
+                kept = pa.array(places[n > 0])
+
+                def joined(words) -> pa.Array:
+                    lists = pa.ListArray.from_arrays(pa.array(some, pa.int32()), pa.array(words, pa.large_string()).take(kept))
+                    return pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())
+
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
+                    [part.column(0), pa.array(np.diff(sums)), joined(ids), joined(decoded)],
                     names=["doc_id", "n_tokens", "ids", "decoded"],
                 )
 
