@@ -22,11 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.llm.components import components
+from contactloom.llm.lexical_search import stored
 from contactloom.llm.words import blocks, mix, window_hashes
 from contactloom.operators.shared import cut
 
 SIGNED = "doc_id long, tag int, n_shingles long, one long, two long, bands array<long>"
 LINK = "node long, other long"
+#: Pairs of texts turned into Python strings at once, and shared shingles counted at once, in a task.
+TEXTS_AT_ONCE, MEETINGS_AT_ONCE = 128, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -160,15 +163,16 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, rule: NearDup) -> DataFrame:
 
     def run(batches):
         known = (None, None)
-        for batch in batches:
-            good = []
-            rows = zip(*(batch.column(k).to_pylist() for k in range(4)))
-            for node, other, a, b in rows:
-                if known[0] != other:
-                    known = other, shingles(b, rule.words)
-                if alike(shingles(a, rule.words), known[1], rule.percent):
-                    good.append((node, other))
-            yield _links(good)
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                batch, good = whole.slice(at, TEXTS_AT_ONCE), []
+                rows = zip(*(batch.column(k).to_pylist() for k in range(4)))
+                for node, other, a, b in rows:
+                    if known[0] != other:
+                        known = other, shingles(b, rule.words)
+                    if alike(shingles(a, rule.words), known[1], rule.percent):
+                        good.append((node, other))
+                yield _links(good)
 
     met = pairs.join(left, "node").join(right, "other")
     return met.select("node", "other", "left", "right").mapInArrow(run, LINK)
@@ -212,8 +216,12 @@ class Block:
             self._index()
         low, high = (np.searchsorted(self.values, values, side) for side in ("left", "right"))
         n = high - low
-        at = np.arange(n.sum()) + np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-        both = np.bincount(self.owners[at], minlength=len(self.sizes))
+        both, chunk = np.zeros(len(self.sizes), np.int64), max(1, MEETINGS_AT_ONCE // len(self.sizes))
+        for at in range(0, len(n), chunk):
+            some = n[at : at + chunk]
+            before = np.cumsum(some) - some
+            met = np.arange(some.sum()) + np.repeat(low[at : at + chunk] - before, some)
+            both += np.bincount(self.owners[met], minlength=len(self.sizes))
         near = (both > 0) & (100 * both >= self.rule.percent * (len(values) + self.sizes - both))
         linked, own = {component}, None
         for k in np.flatnonzero(near):
@@ -283,20 +291,20 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup()) -> DataFrame:
     component and are kept. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("tag"))
-    signed = cut(_signed(docs, rule))
+    signed = stored(_signed(docs, rule))
     same = ["n_shingles", "one", "two"]
     named = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     first = F.min_by(F.struct("tag", "bands"), "doc_id").alias("first")
     sets = named.groupBy(*same).agg(F.min("doc_id").alias("node"), first)
     node_of = sets.select(*same, "node")
-    members = cut(
+    members = stored(
         sets.select(F.explode("first.bands").alias("key"), "node", F.col("n_shingles").alias("size"), F.col("first.tag").alias("tag"))
     )
     # Only buckets with several classes matter from here on.
     shared = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b").select("key")
-    members = cut(members.join(shared, "key"))
+    members = stored(members.join(shared, "key"))
     wanted = members.select(F.col("node").alias("doc_id"), "tag").distinct()
-    texts = cut(docs.join(wanted, ["doc_id", "tag"]).groupBy(F.col("doc_id").alias("node"), "tag").agg(F.first("text").alias("text")).drop("tag"))
+    texts = stored(docs.join(wanted, ["doc_id", "tag"]).groupBy(F.col("doc_id").alias("node"), "tag").agg(F.first("text").alias("text")).drop("tag"))
 
     # Documents that have one id connect the classes they stand in.
     links = named.join(node_of, same).filter("doc_id != node").select(F.col("doc_id").alias("node"), F.col("node").alias("other"))

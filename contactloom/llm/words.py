@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Texts are handled in blocks of about this many bytes, which bounds the memory of a task.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 SEPARATORS = b" \t\n\v\f\r"
 

@@ -5,9 +5,10 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from contactloom.llm import queries
+from contactloom.llm import near_dedup, queries
 from contactloom.llm.components import components
 from contactloom.llm.near_dedup import NearDup, alike, keep_one_each, near_duplicates, ordered, scatter, shingles
 from contactloom.llm.substring_dedup import Repeats, leftmost_minimum, remove_repeats
@@ -126,3 +127,24 @@ def test_components_of_chain_star_and_loop(spark):
 def test_empty_tables(spark, docs):
     none = docs((1, "x")).filter("doc_id < 0")
     assert remove_repeats(none).count() == near_duplicates(none).count() == 0
+
+
+def test_a_block_counts_shared_shingles_in_small_steps(monkeypatch):
+    rng, rule = random.Random(5), NearDup()
+    base = [rng.choice(WORDS) for _ in range(200)]
+    texts = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(0, 200, 10)]
+    found, steps = [], []
+    for step in (1, near_dedup.MEETINGS_AT_ONCE):
+        monkeypatch.setattr(near_dedup, "MEETINGS_AT_ONCE", step)
+        block = near_dedup.Block(rule)
+        for words in near_dedup.blocks(pa.array(texts), lower=True):
+            values, first = near_dedup.shingle_sets(words, rule.words)
+            for k, row in enumerate(words.rows):
+                block.add(row, row, texts[row], values[first[k] : first[k + 1]])
+        arange = np.arange
+        monkeypatch.setattr(np, "arange", lambda *a: (steps.append(a[0]), arange(*a))[1])
+        found.append(set(block.inner_links()))
+        monkeypatch.setattr(np, "arange", arange)
+        if step == 1:
+            assert max(steps) <= len(texts)
+    assert found[0] == found[1] == {(a, b) for a in range(20) for b in range(20) if a != b}
