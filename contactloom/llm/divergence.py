@@ -8,16 +8,16 @@ towards no term's number of documents, but its occurrences count.
 Vocabulary (``iceberg_terms``): a language keeps the terms found in at least ``min_docs`` of its
 documents. They are found by iceberg prefix refinement: byte prefixes of the UTF-8 terms are
 extended level by level, each level's prefixes twice as long as the last (1, 2, 4, ... bytes), so a
-long term needs few levels; a prefix whose number of distinct documents falls below the threshold is
-dropped with all its extensions (a term can only be as frequent as each of its prefixes); a term that
-ends within a level is complete and is kept if its own number of documents reaches the threshold.
+long term needs few levels; a prefix whose number of documents falls below the threshold is
+dropped with all its extensions (a term can only be as frequent as each of its prefixes); a prefix is
+counted as the documents of its terms added up, which is never too low, so nothing is dropped that should
+stay and no document travels by itself; a term that ends within a level is complete and is kept if its own number of documents reaches the threshold.
 Levels go on until no prefix remains. Every count covers all rows of the level.
 
 Distributions: for every occurring (lang, source) group and for each lang, a kept term with ``count``
 occurrences there (zero included) has ``p = 1 + (1e9 * (count + 5)) div (N + 5 V)`` with N the sum of
 the counts of kept terms in the group, V the number of the language's kept terms; exact integers.
-Terms with count 0 share one ``p`` per group, so they are never listed: a pair's sum over them is
-their number times one difference.
+Terms with count 0 share one ``p`` per group, so they are never listed.
 
 ``pair`` rows: per group, every other source of the language, ``value`` = sum over all kept terms of
 ``|p - q|``, q the other source's (0 if V = 0), all ranks. ``term`` rows: per group, every kept term
@@ -28,10 +28,18 @@ terms gives only ``pair`` rows of value 0; an empty table gives no rows. Extra c
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from contactloom.llm.lexical_search import LOWER, UPPER, div, stored, term_counts
+from contactloom.llm.lexical_search import LOWER, UPPER, div, stored
+from contactloom.llm.words import break_table, by_bytes, term_places
 from contactloom.operators.shared import cut, fits_broadcast
 
 # Fixed values of the audit.
@@ -40,6 +48,10 @@ TERM_BREAK = f"[{BREAKS}]+"
 MIN_DOCS, SMOOTH, SCALE, TOP_TERMS = 30, 5, 1_000_000_000, 50
 #: Ranking of terms in two steps: first within so many parts of a group, then over the parts.
 PARTS = 32
+#: Bytes of text whose terms are put together before they leave a task.
+TEXT_BYTES = 32 << 20
+#: Cells of terms and sources compared at once.
+BLOCK_CELLS = 1 << 18
 
 RESULT = "lang string, source string, part string, item string, value long, rank int"
 
@@ -53,12 +65,59 @@ def _maybe_broadcast(df: DataFrame, *columns: str) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, *columns) else df
 
 
-def iceberg_terms(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def term_blocks(docs: DataFrame) -> DataFrame:
+    """``lang, term, n_docs, doc_id, held (source, n)``: documents that hold each term and its occurrences
+    per source, put together for every few MB of text inside the tasks. Rows that are ``again`` (their id
+    is on other rows too) stand alone, with their id and no document counted; a null id counts nothing.
+
+    ``docs`` has doc_id, lang, source, again and text.
+    """
+    held = T.ArrayType(T.StructType([T.StructField("source", T.StringType()), T.StructField("n", T.LongType())]))
+    schema = T.StructType([
+        T.StructField("lang", T.StringType()), T.StructField("term", T.StringType()), T.StructField("n_docs", T.LongType()),
+        T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("held", held),
+    ])
+    names, table = schema.names, break_table(BREAKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in by_bytes(batch, 4, TEXT_BYTES):
+                words, places, first = term_places(part.column(4), table)
+                if not len(places):
+                    continue
+                width, n_rows = len(words), part.num_rows
+                found, n = np.unique(np.repeat(np.arange(n_rows), np.diff(first)) * width + places, return_counts=True)
+                row, word = np.divmod(found, width)
+                # Rows of a language are one owner of terms, those that stand alone are each their own.
+                alone = part.column(3).to_numpy(zero_copy_only=False).astype(bool)
+                langs, sources = (part.column(i).dictionary_encode() for i in (1, 2))
+                owner = np.where(alone, len(langs.dictionary) + np.arange(n_rows), langs.indices.to_numpy())
+                source, n_sources = sources.indices.to_numpy().astype(np.int64), len(sources.dictionary)
+                keys, at = np.unique((owner[row] * width + word) * n_sources + source[row], return_inverse=True)
+                sums = [np.zeros(len(keys), np.int64) for _ in range(2)]
+                np.add.at(sums[0], at, n)
+                np.add.at(sums[1], at, (part.column(0).is_valid().to_numpy(zero_copy_only=False) & ~alone)[row].astype(np.int64))
+                pairs, begin = np.unique(keys // n_sources, return_index=True)
+                whose, word = np.divmod(pairs, width)
+                _, example = np.unique(owner, return_index=True)
+                rows = example[np.searchsorted(owner[example], whose)]
+                ids, rows = pa.array(rows, mask=~alone[rows]), pa.array(rows)
+                each = pa.StructArray.from_arrays([sources.dictionary.take(pa.array(keys % n_sources)), pa.array(sums[0])], ["source", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(1).take(rows), words.take(pa.array(word)).cast(pa.string()), pa.array(np.add.reduceat(sums[1], begin)),
+                     part.column(0).take(ids), pa.ListArray.from_arrays(pa.array(np.append(begin, len(keys)), pa.int32()), each)], names=names,
+                )
+
+    return docs.select("doc_id", "lang", "source", "again", "text").mapInArrow(run, schema)
+
+
+def iceberg_terms(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``lang, term`` held by at least ``min_docs`` distinct documents of the lang.
 
-    ``rows`` has lang, doc_id and term, repeats allowed; it is read once a level.
+    ``counts`` has lang, term and n_docs; a term's rows add up to the documents that hold it. It is read
+    once a level.
     """
-    pairs = rows.select("lang", "doc_id", F.encode("term", "UTF-8").alias("b")).withColumn("len", F.length("b"))
+    pairs = counts.filter("n_docs > 0").select("lang", "n_docs", F.encode("term", "UTF-8").alias("b")).withColumn("len", F.length("b"))
     found, alive, reach, before = [], None, 1, 0
     while True:
         here = pairs.filter(F.col("len") > before)
@@ -68,9 +127,9 @@ def iceberg_terms(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
             )
         done = F.col("len") <= reach
         keyed = here.select(
-            "lang", "doc_id", done.alias("done"), F.when(done, F.col("b")).otherwise(F.substring("b", 1, reach)).alias("stem")
+            "lang", "n_docs", done.alias("done"), F.when(done, F.col("b")).otherwise(F.substring("b", 1, reach)).alias("stem")
         )
-        counted = keyed.groupBy("lang", "stem", "done").agg(F.count_distinct("doc_id").alias("n_docs"))
+        counted = keyed.groupBy("lang", "stem", "done").agg(F.sum("n_docs").alias("n_docs"))
         kept = cut(counted.filter(F.col("n_docs") >= min_docs))
         found.append(kept.filter("done").select("lang", F.decode("stem", "UTF-8").alias("term")))
         alive = kept.filter(~F.col("done")).select("lang", "stem")
@@ -97,16 +156,26 @@ def divergence_audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_T
         F.coalesce("source", F.lit("")).alias("source"),
         "text",
     )
-    counted = term_counts(clean, "text", BREAKS, ["doc_id", "lang", "source"])
-    tokens = stored(counted.select("doc_id", "lang", "source", "term", F.col("count").alias("n")))
+    ids = clean.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    twice = cut(ids.filter("rows > 1").select("doc_id", F.lit(True).alias("again")))
+    if twice.isEmpty():
+        marked = clean.withColumn("again", F.lit(False))
+    else:
+        marked = clean.join(_maybe_broadcast(twice, "doc_id"), "doc_id", "left").fillna(False, ["again"])
+    tokens = stored(term_blocks(marked))
     groups = cut(clean.select("lang", "source").distinct())
-    vocabulary = iceberg_terms(tokens.select("lang", "doc_id", "term"), min_docs)
+    holders = tokens.select("lang", "term", "n_docs")
+    if not twice.isEmpty():
+        more = tokens.filter("doc_id IS NOT NULL").select("lang", "term", "doc_id").distinct()
+        holders = holders.unionByName(more.select("lang", "term", F.lit(1).cast("long").alias("n_docs")))
+    vocabulary = iceberg_terms(holders, min_docs)
     sizes = groups.select("lang").distinct().join(
         vocabulary.groupBy("lang").agg(F.count(F.lit(1)).alias("v")), "lang", "left"
     ).select("lang", F.coalesce("v", F.lit(0)).cast("long").alias("v"))
 
-    counts = cut(
-        tokens.join(_maybe_broadcast(vocabulary, "term"), ["lang", "term"], "left_semi")
+    counts = stored(
+        tokens.select("lang", "term", "held").join(_maybe_broadcast(vocabulary, "term"), ["lang", "term"], "left_semi")
+        .select("lang", "term", F.inline("held"))
         .groupBy("lang", "source", "term").agg(F.sum("n").alias("count"))
     )
     group_n = groups.join(counts.groupBy("lang", "source").agg(F.sum("count").alias("n")), ["lang", "source"], "left")
@@ -114,37 +183,50 @@ def divergence_audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_T
     group_n = cut(group_n.withColumn("p0", F.when(F.col("v") > 0, _p(F.lit(0), F.col("n"), F.col("v")))))
     lang_counts = counts.groupBy("lang", "term").agg(F.sum("count").alias("count"))
     lang_n = lang_counts.groupBy("lang").agg(F.sum("count").alias("n")).join(sizes, "lang")
-    lang_p = lang_counts.join(lang_n, "lang").select("lang", "term", _p(F.col("count"), F.col("n"), F.col("v")).alias("q"))
+    lang_p = lang_counts.join(_maybe_broadcast(lang_n, "lang"), "lang").select("lang", "term", _p(F.col("count"), F.col("n"), F.col("v")).alias("q"))
 
     small = _maybe_broadcast(group_n.select("lang", "source", "n", "v", "p0"), "lang", "source")
-    group_p = cut(counts.join(small, ["lang", "source"]).select("lang", "source", "term", _p(F.col("count"), F.col("n"), F.col("v")).alias("p")))
+    group_p = stored(counts.join(small, ["lang", "source"]).select("lang", "source", "term", _p(F.col("count"), F.col("n"), F.col("v")).alias("p")))
     return _pairs(group_p, group_n).unionByName(_terms(group_p, lang_p, top))
 
 
 def _pairs(group_p: DataFrame, group_n: DataFrame) -> DataFrame:
-    """Each ordered pair of sources of a lang, from the rows where the first has a count."""
-    one = group_n.select("lang", "source", F.col("p0").alias("p0_a"), F.col("n").alias("n_a"), "v")
-    other = group_n.select("lang", F.col("source").alias("item"), F.col("p0").alias("p0_b"))
-    pairs = cut(one.join(other, "lang").filter(F.col("source") != F.col("item")))
-    ahead = _maybe_broadcast(other, "lang", "item")
-    partner = group_p.select("lang", F.col("source").alias("item"), "term", F.col("p").alias("p_b"))
-    rows = group_p.join(ahead, "lang").filter(F.col("source") != F.col("item")).join(partner, ["lang", "item", "term"], "left")
-    sums = rows.groupBy("lang", "source", "item").agg(
-        F.sum(F.abs(F.col("p") - F.coalesce("p_b", "p0_b"))).alias("s"),
-        F.count("p_b").alias("both"),
-        F.count(F.lit(1)).alias("own"),
-        F.sum(F.when(F.col("p_b").isNull(), F.abs(F.col("p") - F.col("p0_b")))).alias("only"),
-    )
-    sums = cut(sums)
-    mirrored = sums.select(
-        "lang", F.col("item").alias("source"), F.col("source").alias("item"),
-        F.col("only").alias("only_b"), F.col("own").alias("own_b"),
-    )
-    joined = pairs.join(sums, ["lang", "source", "item"], "left").join(mirrored, ["lang", "source", "item"], "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    rest = F.col("v") - zero(F.col("own")) - zero(F.col("own_b")) + zero(F.col("both"))
-    value = zero(F.col("s")) + zero(F.col("only_b")) + rest * zero(F.abs(F.col("p0_a") - F.col("p0_b")))
-    valued = joined.select("lang", "source", F.lit("pair").alias("part"), "item", F.when(F.col("v") > 0, value).otherwise(0).cast("long").alias("value"))
+    """Each ordered pair of sources of a lang. A kept term occurs somewhere in its lang, so the terms of
+    ``group_p`` are all there are; their differences are added up term by term inside the tasks."""
+    spark = group_p.sparkSession
+    groups = defaultdict(list)
+    for r in group_n.orderBy("lang", "source").collect():  # the result has a row for each two of a lang
+        groups[r.lang].append((r.source, r.p0))
+    sent = spark.sparkContext.broadcast(dict(groups))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {}
+        for batch in batches:
+            langs, held = batch.column(0).dictionary_encode(), batch.column(1)
+            for nth, lang in enumerate(langs.dictionary.to_pylist()):
+                names, p0 = zip(*sent.value[lang])
+                p0 = np.array(p0, np.int64)
+                total = sums.setdefault(lang, np.zeros((len(p0), len(p0)), np.int64))
+                mine, step = np.flatnonzero(langs.indices.to_numpy() == nth), max(1, BLOCK_CELLS // len(p0))
+                for at in range(0, len(mine), step):
+                    part = held.take(pa.array(mine[at : at + step]))
+                    each, n = pc.list_flatten(part), pc.list_value_length(part).to_numpy(zero_copy_only=False)
+                    p = np.tile(p0, (len(part), 1))
+                    column = pc.index_in(each.field(0), value_set=pa.array(names, pa.string())).to_numpy(zero_copy_only=False)
+                    p[np.repeat(np.arange(len(part)), n), column] = each.field(1).to_numpy(zero_copy_only=False)
+                    for i in range(len(p0)):
+                        total[i] += np.abs(p - p[:, i : i + 1]).sum(axis=0)
+        for lang, total in sums.items():
+            names = [name for name, _ in sent.value[lang]]
+            for name, row in zip(names, total):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names)), pa.array([name] * len(names)), pa.array(names), pa.array(row)], names=["lang", "source", "item", "s"])
+
+    held = group_p.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "p")).alias("held"))
+    sums = held.select("lang", "held").mapInArrow(run, "lang string, source string, item string, s long")
+    sums = sums.groupBy("lang", "source", "item").agg(F.sum("s").alias("value"))
+    pairs = group_n.select("lang", "source").join(group_n.select("lang", F.col("source").alias("item")), "lang").filter("source != item")
+    joined = pairs.join(sums, ["lang", "source", "item"], "left")
+    valued = joined.select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     return valued.withColumn("rank", F.row_number().over(order).cast("int"))
 

@@ -6,6 +6,7 @@ themselves, so words are found on bytes. Hashes are 64 bits wide.
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 from collections.abc import Iterator
@@ -149,6 +150,40 @@ def word_places(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return joined[0].as_py().split(b" ") if len(words) else [], coded.indices.to_numpy(), first
 
 
+def break_table(breaks: str) -> bytes:
+    """For ``bytes.translate``: a space for each ASCII character of the class ``breaks``, a-z for A-Z."""
+    is_break = re.compile(f"[{breaks}]").match
+    return bytes(32 if is_break(chr(i)) else ord(chr(i).lower()) for i in range(128)) + bytes(range(128, 256))
+
+
+def term_places(texts: pa.Array, table: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct terms of a column of texts (cut and lower-cased by a ``break_table``), the place in
+    them of each term of each text, in order, and each text's first term; a null is an empty text."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    data = raw.slice(ends[0], ends[-1] - ends[0]).to_pybytes().translate(table) if raw is not None else b""
+    plain = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(ends - ends[0]), pa.py_buffer(data)])
+    lists = pc.ascii_split_whitespace(plain)
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    every = lists.flatten()
+    full = pc.greater(pc.binary_length(every), 0)  # there are empty ones at the ends of a text
+    before = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False), dtype=np.int64)))
+    first = before[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
+    coded = every.filter(full).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), first
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows whose texts have about ``size`` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at, before = 0, 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield batch.slice(at, to - at)
+        at, before = to, int(ends[to - 1])
+
+
 def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
     """Hash of ``length`` consecutive words, at every word that has so many from itself on."""
     first = np.arange(max(0, len(hashes) - length + 1))

@@ -253,3 +253,14 @@ def test_probabilities_of_a_context_sum_to_one(spark):
         rest = sum(np.mean([back[b][s] * words[w][s] for s in range(2)]) for w in words if w not in dishes)
         unseen = np.mean([back[b][s] * model.unknown[s] for s in range(2)])
         assert sum(dishes.values()) + rest + unseen == pytest.approx(1.0)
+
+
+def test_audit_puts_terms_of_many_documents_together(spark):
+    from contactloom.llm.divergence import term_blocks
+
+    rows = [(i // 2 if i > 90 else i + 100, "en", "ab"[i % 2], i > 90, "one two two") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, again boolean, text string").coalesce(1)
+    got = term_blocks(docs).collect()
+    whole = {r.term: (r.n_docs, {h.source: h.n for h in r.held}) for r in got if r.doc_id is None}
+    assert whole == {"one": (91, {"a": 46, "b": 45}), "two": (91, {"a": 92, "b": 90})}
+    assert len(got) == 2 + 2 * 9 and all(r.n_docs == 0 for r in got if r.doc_id is not None)
