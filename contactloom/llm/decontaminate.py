@@ -60,10 +60,14 @@ class Matching:
     broadcast_rows: int = 500_000
 
 
+def _unmarked(text: Column) -> Column:
+    plain = F.coalesce(text, F.lit(""))
+    return F.replace(F.replace(plain, F.lit("\u0001"), F.lit("")), F.lit("\u0002"), F.lit(""))
+
+
 def marked(text: Column) -> Column:
     """The text with every slot set apart between marks of its own."""
-    plain = F.translate(F.coalesce(text, F.lit("")), "\u0001\u0002", "")
-    return F.regexp_replace(plain, f"{NAME}|{NUMBER}(?:{UNIT})?", " \u0001$0\u0002 ")
+    return F.regexp_replace(_unmarked(text), f"{NAME}|{NUMBER}(?:{UNIT})?", " \u0001$0\u0002 ")
 
 
 def tokens(marked_text: Column) -> Column:
@@ -78,8 +82,7 @@ def tokens(marked_text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Literal tokens: lower-case words and runs of digits, without any slot."""
-    plain = F.translate(F.coalesce(text, F.lit("")), "\u0001\u0002", "")
-    return F.array_remove(F.split(F.lower(plain), BETWEEN), "")
+    return F.array_remove(F.split(F.lower(_unmarked(text)), BETWEEN), "")
 
 
 def _once(value: Column, use) -> Column:
@@ -101,11 +104,17 @@ def _key(hashes: Column, at: Column, length, literal) -> Column:
     return F.xxhash64(F.lit(literal), F.slice(hashes, at + 1, length))
 
 
-def _windows(hashes: Column, length: int, literal: bool) -> Column:
-    """``at, key`` of every window of so many tokens."""
-    last = F.size(hashes) - length
-    starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("at"), _key(hashes, i, length, literal).alias("key")))
+def _windows(texts: DataFrame, template: Column, lengths: list[int], literal: bool) -> DataFrame:
+    """``doc_id, tag, at, key`` of every window of so many tokens. One row for each token first: its
+    windows' keys are then compiled code on the array of hashes, where a lambda would be interpreted."""
+    # With the outer form no filter is derived that would compute all hashes once more.
+    each = texts.select("doc_id", "tag", _hashes(template).alias("hashes")).select("doc_id", "tag", "hashes", F.posexplode_outer("hashes").alias("at", "one"))
+    key = lambda n: F.xxhash64(F.lit(literal), *(F.get("hashes", F.col("at") + i) for i in range(n)))
+    fits = lambda n: F.col("at") + n <= F.size("hashes")
+    if len(lengths) == 1:
+        return each.filter(fits(lengths[0])).select("doc_id", "tag", "at", key(lengths[0]).alias("key"))
+    keys = F.array(*(F.when(fits(n), key(n)) for n in lengths)).cast("array<bigint>")
+    return each.select("doc_id", "tag", "at", F.explode_outer(keys).alias("key")).filter("key IS NOT NULL")
 
 
 def benchmark_windows(benchmark: DataFrame, how: Matching) -> DataFrame:
@@ -146,17 +155,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, how: Matching = Matching
     windows = cut(benchmark_windows(benchmark, how))
     lengths = [tuple(r) for r in windows.select("literal", "length").distinct().collect()]  # at most 2 * how.window rows
     small = windows.count() <= how.broadcast_rows
-    none = F.array().cast("array<struct<at:int,key:bigint>>")
+    items = windows.select("item_id", "literal", "total", "drift", F.struct(F.col("at").alias("item_at"), "nth").alias("place"), "key")
 
-    def windows_of(template: Column, literal: bool) -> Column:
-        own = sorted(n for kind, n in lengths if kind == literal)
-        return _once(_hashes(template), lambda h: F.concat(none, *(_windows(h, n, literal) for n in own)))
+    def hits_of(template: Column, literal: bool) -> DataFrame:
+        own, wanted = sorted(n for kind, n in lengths if kind == literal), items.filter(F.col("literal") == literal)
+        return _windows(tagged, template, own, literal).join(F.broadcast(wanted) if small else wanted, "key")
 
-    every = F.concat(windows_of(tokens(marked(F.col("text"))), False), windows_of(words(F.col("text")), True))
-    # With the outer form no filter is derived that would compute all windows once more.
-    every = tagged.select("doc_id", "tag", F.explode_outer(every).alias("w")).select("doc_id", "tag", "w.at", "w.key")
-    items = windows.select("item_id", "literal", "total", "drift", F.struct(F.col("at").alias("item_at"), "nth").alias("place"), "key")
-    hits = every.join(F.broadcast(items) if small else items, "key")
+    hits = hits_of(tokens(marked(F.col("text"))), False).unionByName(hits_of(words(F.col("text")), True))
     shifts = hits.groupBy("doc_id", "tag", "item_id", "literal", "total", "drift", (F.col("at") - F.col("place.item_at")).alias("shift")).agg(
         F.collect_set("place").alias("places")
     )

@@ -191,3 +191,17 @@ def test_very_long_names_and_numbers_are_one_slot(spark, docs):
 def test_native_queries_run_no_python(spark, small, query):
     plan = queries.QUERIES[query](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_windows_of_texts_and_items_have_the_same_keys(spark):
+    from contactloom.llm import decontaminate as d
+    from pyspark.sql import functions as F
+
+    rows = [(1, "one two three four five six seven eight nine ten"), (2, "just three words"), (3, ""), (4, None)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tag", F.hash("text"))
+    for literal, cut_up in ((True, d.words(F.col("text"))), (False, d.tokens(d.marked(F.col("text"))))):
+        wanted = {(r.item_id, r["at"], r.key) for r in d.benchmark_windows(items, d.Matching()).collect() if r.literal == literal}
+        got = {(r.doc_id, r["at"], r.key) for r in d._windows(docs, cut_up, [3, 8], literal).collect()}
+        assert wanted <= got and len(wanted) == 4 and len(got) == 3 + 8 + 1
+        assert {(r.doc_id, r["at"]) for r in d._windows(docs, cut_up, [8], literal).collect()} == {(1, 0), (1, 1), (1, 2)}
