@@ -136,3 +136,23 @@ def test_words_of_a_column_are_looked_up_once_each():
     for _ in range(2):
         assert [list(x) for x in own.encode(texts)] == [library_ids(t) for t in texts.to_pylist()]
     assert len(asked) == len(set(asked)) and word_places(texts[:0])[0] == []
+
+
+def test_round_trip_does_not_search_its_words_for_cycles():
+    import gc
+
+    import public_tokenizers
+
+    from contactloom.llm.bpe import bpe_round_trip
+
+    class Rows:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = bpe_round_trip(Rows(), public_tokenizers.path("word_bpe_49k.json"))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a <|endoftext|> b", None]})
+    on = [gc.isenabled() for _ in run(iter([batch, batch]))]
+    assert on == [False, False] and gc.isenabled()
