@@ -16,8 +16,7 @@ and an unseen context defers to its parent. Seating is sampled by Gibbs sweeps o
 parallel: a dish's customers are re-seated one after the other given its parent's probability and the
 restaurant's tables of the sweep before (so dishes of one restaurant are sampled side by side, as in
 distributed samplers of topic models). A dish with one customer always has one table and is never
-sampled; re-seating skips ahead over runs of customers that join existing tables, so its cost grows
-with the tables, not the customers. Draws come from a counter-based hash of (dish, sweep, customer), so
+sampled; re-seating looks one by one only at customers that may open a table, at all others in bulk. Draws come from a counter-based hash of (dish, sweep, customer), so
 a task run again after a lost executor draws the same. The predictive probabilities of the last
 ``keep`` sweeps are averaged per token; ``score`` is the sum of their log10 over the document.
 
@@ -86,7 +85,7 @@ def uniforms(seed: np.ndarray, step: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) * (1.0 / (1 << 53))
 
 
-LOCKSTEP = 64
+LOCKSTEP, WINDOW = 64, 1 << 14
 
 
 def seat(c: np.ndarray, a: np.ndarray, seed: np.ndarray, d: float) -> np.ndarray:
@@ -99,11 +98,11 @@ def seat(c: np.ndarray, a: np.ndarray, seed: np.ndarray, d: float) -> np.ndarray
     t = np.minimum(c, 1)
     few = np.flatnonzero((c >= 2) & (c <= LOCKSTEP))
     if len(few):
+        few = few[np.argsort(-c[few], kind="stable")]  # those that still seat customers are always the first ones
         cf, af, sf, tf = c[few], a[few], seed[few], t[few].astype(np.float64)
-        for i in range(1, int(cf.max())):
-            on = cf > i
-            p = af / (i - d * tf + af)
-            tf += on & (uniforms(sf, np.full(len(sf), i)) < p)
+        for i in range(1, int(cf[0])):
+            n = int(np.searchsorted(-cf, -i))
+            tf[:n] += uniforms(sf[:n], np.full(n, i)) < af[:n] / (i - d * tf[:n] + af[:n])
         t[few] = tf.astype(np.int64)
     for k in np.flatnonzero(c > LOCKSTEP):
         t[k] = _seat_many(int(c[k]), float(a[k]), np.uint64(seed[k]), d)
@@ -111,18 +110,16 @@ def seat(c: np.ndarray, a: np.ndarray, seed: np.ndarray, d: float) -> np.ndarray
 
 
 def _seat_many(c: int, a: float, seed, d: float) -> int:
-    """One dish with many customers: skips ahead to the next customer that opens a table."""
+    """One dish with many customers: looks only at those who may open a table."""
     i, t = 1, 1
     while i < c:
-        gap = (i - d * t + a) / max(a, 1e-300)
-        width = int(min(max(2 * gap + 16, 16), 1 << 16, c - i))
-        steps = np.arange(i, i + width)
-        opened = np.flatnonzero(uniforms(np.full(width, seed), steps) < a / (steps - d * t + a))
-        if len(opened):
-            t += 1
-            i = int(steps[opened[0]]) + 1
-        else:
-            i += width
+        steps = np.arange(i, min(i + WINDOW, c))
+        draws = uniforms(np.full(len(steps), seed), steps)
+        # No customer sees more tables than if all before it in the window had opened one.
+        near = np.flatnonzero(draws < a / (steps - d * (t + steps - i) + a))
+        for step, draw in zip(steps[near].tolist(), draws[near].tolist()):
+            t += draw < a / (step - d * t + a)
+        i += len(steps)
     return t
 
 

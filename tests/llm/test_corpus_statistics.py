@@ -282,3 +282,16 @@ def test_audit_puts_terms_of_many_documents_together(spark):
     whole = {r.term: (r.n_docs, {h.source: h.n for h in r.held}) for r in got if r.doc_id is None}
     assert whole == {"one": (91, {"a": 46, "b": 45}), "two": (91, {"a": 92, "b": 90})}
     assert len(got) == 2 + 2 * 9 and all(r.n_docs == 0 for r in got if r.doc_id is not None)
+
+
+def test_seating_is_done_in_bulk(monkeypatch):
+    from contactloom.llm import pitman_yor
+
+    drawn, plain = [], pitman_yor.uniforms
+    monkeypatch.setattr(pitman_yor, "uniforms", lambda seed, step: drawn.append(len(step)) or plain(seed, step))
+    c, a = np.array([2] * 1000 + [60, 40_000]), np.array([0.5] * 1000 + [0.5, 30.0])
+    seed = np.arange(1, 1003, dtype=np.uint64)
+    got = seat(c, a, seed, 0.75)
+    assert sum(drawn) == (c - 1).sum() and len(drawn) < 70
+    monkeypatch.undo()
+    assert got.tolist() == [plain_seat(int(x), float(y), s, 0.75) for x, y, s in zip(c, a, seed)]
