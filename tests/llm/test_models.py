@@ -150,3 +150,17 @@ def test_secret_query(spark, small):
     got = queries.op8_secret_forest(spark, small)
     assert got.columns == ["doc_id", "nth", "length", "value_sha256", "probability", "is_secret"]
     assert got.filter("probability < 0 OR probability > 1").count() == 0
+
+
+def test_candidates_are_found_once(spark, docs, monkeypatch):
+    from contactloom.llm import secret_forest
+
+    plans, features = [], secret_forest.with_features
+
+    def seen(found, words, how):
+        plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+        return features(found, words, how)
+
+    monkeypatch.setattr(secret_forest, "with_features", seen)
+    assert scan_secrets(docs((1, "password=tr0ub4dor and more"))).count() == 1
+    assert plans and not any("regexp_extract_all" in plan for plan in plans)
