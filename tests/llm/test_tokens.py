@@ -156,3 +156,55 @@ def test_round_trip_does_not_search_its_words_for_cycles():
     batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a <|endoftext|> b", None]})
     on = [gc.isenabled() for _ in run(iter([batch, batch]))]
     assert on == [False, False] and gc.isenabled()
+
+
+def test_pieces_of_a_block_are_merged_together(monkeypatch):
+    from contactloom.llm import bpe
+
+    one_by_one = []
+    monkeypatch.setattr(bpe, "merge", lambda symbols, ranks: one_by_one.append(symbols) or merge(symbols, ranks))
+    words = ["", "a", "it's", "Straße.", "é,", "x" * 65, "ha-ha-ha", "$$$", "123.45", "Ä\u0301é!"]
+    for _ in range(2):
+        got = Vocabulary(PATH).words([w.encode() for w in words])
+        expected = [library_ids(w) for w in words]
+        assert got == [(len(x), " ".join(map(str, x)), LIBRARY.decode(x, skip_special_tokens=False)) for x in expected]
+        words = [w + v for w in words for v in ("abc", "!", "nous", "9z")]
+    assert one_by_one and all(len(x) > bpe.LOCKSTEP for x in one_by_one)
+    assert Vocabulary(PATH).words([b"<|endoftext|>a", b"a"])[0][0] == len(library_ids("<|endoftext|>a"))
+
+
+def test_merging_together_is_merging_one_by_one():
+    from contactloom.llm.bpe import PairTable, merge_many
+
+    rng = random.Random(5)
+    for _ in range(40):
+        ranks, new = {}, 6
+        for rank in range(rng.randint(0, 25)):
+            pair = (rng.randrange(new), rng.randrange(new))
+            if pair not in ranks:
+                ranks[pair] = rank << 44 | new
+                new += 1
+        pieces = [[rng.randrange(6) for _ in range(rng.randint(0, 70))] for _ in range(40)]
+        assert merge_many(pieces, ranks, PairTable(ranks)) == [merge(x, ranks) for x in pieces]
+
+
+def test_library_is_asked_once_for_a_stem_with_other_marks():
+    own, asked = Encoder(PATH), []
+    ask, own._ask = own._ask, lambda ws: asked.extend(ws) or ask(ws)
+    words = ["word$$$", "word.###", "caf\u00e9,", "caf\u00e9", "12.", "\u0130,", "x\u00d7,", "it's.", "<|endoftext|>.", "?!", "e\u0301,", "\u4e2d."]
+    texts = pa.array([" ".join(words), None, "\u0130, word$$$"])
+    for _ in range(2):
+        assert [list(x) for x in own.encode(texts)] == [library_ids(t) for t in texts.to_pylist()]
+    assert len(asked) == len(set(asked)) and b"word" in asked and "caf\u00e9".encode() in asked
+    assert not {b"word$$$", b"word.###", "caf\u00e9,".encode()} & set(asked)
+
+
+def test_other_operators_get_the_memory_of_remembered_words():
+    from contactloom.llm.bpe import vocabulary
+    from contactloom.llm.token_files import encoder
+    from contactloom.llm.words import make_room, worker_store
+
+    first = vocabulary(PATH), encoder(PATH)
+    assert (vocabulary(PATH), encoder(PATH)) == first
+    make_room()
+    assert not worker_store("bpe") and not worker_store("encoders")
