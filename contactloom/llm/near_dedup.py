@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from contactloom.llm.components import components
 from contactloom.llm.lexical_search import stored
-from contactloom.llm.words import blocks, mix, window_hashes
+from contactloom.llm.words import blocks, make_room, mix, window_hashes
 from contactloom.operators.shared import cut
 
 SIGNED = "doc_id long, tag int, n_shingles long, one long, two long, bands array<long>"
@@ -111,6 +111,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _signed(docs: DataFrame, rule: NearDup) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in batches:
             for words in blocks(batch.column(2), lower=True):
                 values, first = shingle_sets(words, rule.words)
@@ -162,6 +163,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, rule: NearDup) -> DataFrame:
     right = texts.select(F.col("node").alias("other"), F.col("text").alias("right"))
 
     def run(batches):
+        make_room()
         known = (None, None)
         for whole in batches:
             for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
@@ -255,6 +257,7 @@ def _rest(members: DataFrame, texts: DataFrame, rule: NearDup) -> DataFrame:
     rows = split.select("key", "part", "node", "component", F.lit(0).alias("asks")).unionByName(asking).join(texts, "node")
 
     def run(batches):
+        make_room()
         group, block = None, Block(rule)
         for batch in batches:
             good = []
@@ -315,6 +318,7 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup()) -> DataFrame:
         members_now = _labelled(members, label)
         links = cut(links.unionByName(_confirmed(_hub_pairs(members_now, seed, rule), texts, rule)))
         label = components(links)
+        links = label.select("node", F.col("component").alias("other"))  # all that the next links need of these
     links = cut(links.unionByName(_rest(_labelled(members, label), texts, rule)))
     label = components(links)
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.llm.features import NAMES, map_features, text_features
-from contactloom.llm.words import blocks, held_out
+from contactloom.llm.words import blocks, held_out, make_room
 
 SCORED = "doc_id long, score double"
 
@@ -188,6 +188,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
     names, text = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in batches:
             scores = [model.scores(text_features(w)) for w in blocks(batch.column(text))]
             good = np.concatenate(scores) >= threshold if scores else np.zeros(0, dtype=bool)

@@ -6,6 +6,7 @@ themselves, so words are found on bytes. Hashes are 64 bits wide.
 
 from __future__ import annotations
 
+import gc
 import re
 import sys
 import types
@@ -39,6 +40,17 @@ def worker_store(name: str) -> dict:
     return holder.__dict__.setdefault(name, {})
 
 
+#: Stores that grow with the words a worker has seen.
+WORD_STORES = ("bpe", "encoders", "restorers")
+
+
+def make_room() -> None:
+    """Forgets the words that other operators left in this Python worker; for operators that need its memory."""
+    kept = sys.modules.get("_contactloom_store", types.ModuleType("none")).__dict__
+    if [kept.pop(name) for name in WORD_STORES if name in kept]:
+        gc.collect()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every input bit."""
     x = x ^ (x >> np.uint64(30))

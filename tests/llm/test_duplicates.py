@@ -148,3 +148,22 @@ def test_a_block_counts_shared_shingles_in_small_steps(monkeypatch):
         if step == 1:
             assert max(steps) <= len(texts)
     assert found[0] == found[1] == {(a, b) for a in range(20) for b in range(20) if a != b}
+
+
+def test_rounds_over_few_links_leave_few_files(spark, monkeypatch):
+    from contactloom.llm import components as module
+
+    parts, cut = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df: parts.append(df.rdd.getNumPartitions()) or cut(df))
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        links = spark.range(1, 300).selectExpr("id AS node", "id - if(id % 10 = 0, 0, 1) AS other")
+        got = {r.node: r.component for r in module.components(links).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {k: k // 10 * 10 for k in range(300)}
+    assert len(parts) > 2 and max(parts[1:]) <= module.LEAST
