@@ -93,33 +93,38 @@ def language_model(counts: dict[int, int]) -> np.ndarray:
     return -np.log((table + 5 * two) / (table.sum(2, keepdims=True) + 5))
 
 
-def restore(word: str, cost: np.ndarray) -> str:
-    """Cheapest reading of one lower-case word: letters only, unless it has none."""
+def restore(word: str, cost: list | np.ndarray) -> str:
+    """Cheapest reading of one lower-case word: letters only, unless it has none. ``cost`` is read a
+    number at a time, which is faster from lists."""
     paths = {(BORDER, BORDER): (0.0, "", "")}
     for c in word:
-        options = [(c, KEEP)] if c.isalpha() else []
-        options += ((x, SWAP) for x in LOOKALIKES.get(c, ""))
+        is_letter = c.isalpha()
+        options = [(c, KEEP, letter(c))] if is_letter else []
+        options += [(x, SWAP, letter(x)) for x in LOOKALIKES.get(c, "")]
+        loose = 0.0 if is_letter else LOOSE if c.isdigit() else 2.5 if c in LOOKALIKES else SKIP
         found: dict = {}
         for (a, b), (spent, text, last) in paths.items():
-            moves = [(x, spent + price + cost[a, b, letter(x)]) for x, price in options]
-            if not c.isalpha():
-                moves.append(("", spent + (LOOSE if c.isdigit() else 2.5 if c in LOOKALIKES else SKIP)))
+            prices = cost[a][b]
+            moves = [((b, code), x, spent + price + prices[code]) for x, price, code in options]
+            if not is_letter:
+                moves.append(((a, b), "", spent + loose))
             elif c == last:
-                moves.append(("", spent + DROP))
-            for x, total in moves:
-                key = (b, letter(x)) if x else (a, b)
+                moves.append(((a, b), "", spent + DROP))
+            for key, x, total in moves:
                 # ``last`` is the source letter, so a run of one letter can be dropped step by step.
                 if key not in found or total < found[key][0]:
-                    found[key] = total, text + x, c if c.isalpha() else last
+                    found[key] = total, text + x, c if is_letter else last
         paths = found
-    ends = ((spent + cost[a, b, BORDER], text) for (a, b), (spent, text, _) in paths.items())
+    ends = ((spent + cost[a][b][BORDER], text) for (a, b), (spent, text, _) in paths.items())
     return min(ends)[1] or word
 
 
-def cleaned(word: str, cost: np.ndarray) -> str:
+def cleaned(word: str, cost: list | np.ndarray) -> str:
     """A word in lower case without marks around it, restored if it looks disguised."""
     low = word.lower()
     core, body = low.strip(EDGES), low.lstrip(OPENING).rstrip(CLOSING)
+    if body.isalpha():  # neither a number nor a lookalike
+        return restore(body, cost) if ODD.search(body) else core
     if NUMERIC.fullmatch(body):
         return core
     alike = sum(c in LOOKALIKES for c in body)
@@ -137,7 +142,7 @@ class Restorer:
     """What each distinct word becomes, and which of its features count."""
 
     def __init__(self, cost: np.ndarray, chosen: dict[str, int] | None = None):
-        self.cost, self.chosen = cost, chosen
+        self.cost, self.chosen = cost.tolist(), chosen
         self.words = WordCache(self._word)
 
     def _word(self, raw: bytes):

@@ -164,3 +164,20 @@ def test_candidates_are_found_once(spark, docs, monkeypatch):
     monkeypatch.setattr(secret_forest, "with_features", seen)
     assert scan_secrets(docs((1, "password=tr0ub4dor and more"))).count() == 1
     assert plans and not any("regexp_extract_all" in plan for plan in plans)
+
+
+def test_letters_alone_are_not_tested_for_numbers(monkeypatch):
+    from contactloom.llm import toxicity
+
+    cost, tested, numeric = model_of(["idiot", "letter", "thing"]), [], toxicity.NUMERIC
+
+    class Numeric:
+        def fullmatch(self, word):
+            tested.append(word)
+            return numeric.fullmatch(word)
+
+    words = ["Thing", "letter,", "1d10t", "(12)", "thing5", "", "été", "lettterr"]
+    expected = [toxicity.cleaned(w, cost) for w in words]
+    monkeypatch.setattr(toxicity, "NUMERIC", Numeric())
+    assert [toxicity.cleaned(w, cost.tolist()) for w in words] == expected
+    assert tested == ["1d10t", "12", "thing5", ""]
