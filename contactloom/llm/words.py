@@ -49,6 +49,7 @@ def make_room() -> None:
     kept = sys.modules.get("_contactloom_store", types.ModuleType("none")).__dict__
     if [kept.pop(name) for name in WORD_STORES if name in kept]:
         gc.collect()
+    pa.default_memory_pool().release_unused()  # else it keeps what earlier batches took
 
 
 def mix(x: np.ndarray) -> np.ndarray:

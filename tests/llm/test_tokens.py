@@ -208,3 +208,41 @@ def test_other_operators_get_the_memory_of_remembered_words():
     assert (vocabulary(PATH), encoder(PATH)) == first
     make_room()
     assert not worker_store("bpe") and not worker_store("encoders")
+
+
+def test_remembered_words_are_small():
+    import tracemalloc
+
+    own, n = Vocabulary(PATH), 20_000
+    words = [f"{k:x}q{k * 7919:x}".translate(str.maketrans("0123456789", "ghijklmnop")).encode() for k in range(n)]
+    own.words([b"q"])
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    got = own.words(words)
+    first, last = got[0], got[-1]
+    del got
+    used = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert used < 450 * n  # a word and its piece
+    assert [first, last] == own.words([words[0], words[-1]])
+    assert 2 * (own.known_words.limit + own.spelled.limit) <= 640_000
+
+
+def test_each_block_gives_back_the_memory_of_its_arrays(monkeypatch):
+    class Rows:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    class Pool:
+        released = 0
+
+        def release_unused(self):
+            Pool.released += 1
+
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1025)), "text": ["a b"] * 1025})
+    assert sum(x.num_rows for x in bpe_round_trip(Rows(), PATH)(iter([batch]))) == 1025
+    assert Pool.released == 3
