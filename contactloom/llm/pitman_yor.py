@@ -20,6 +20,9 @@ sampled; re-seating looks one by one only at customers that may open a table, at
 a task run again after a lost executor draws the same. The predictive probabilities of the last
 ``keep`` sweeps are averaged per token; ``score`` is the sum of their log10 over the document.
 
+``lm_scores`` learns and scores in place, on packed blocks of bigrams (``packed_sampler``); ``train`` and ``score`` make
+the same model as tables of dishes, contexts and words, to score other pairs with. Both draw alike.
+
 ``base_score`` sums ``log10((c + 0.1) / (N + 0.1 (V + 1)))`` with c the token's count in the training
 tokens, N their number and V their distinct count. Every count covers all training documents.
 
@@ -39,6 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from contactloom.llm.lexical_search import LOWER, UPPER, stored
+from contactloom.llm.packed_sampler import document_scores
 from contactloom.llm.words import mix
 from contactloom.operators.shared import fits_broadcast
 
@@ -250,16 +254,9 @@ def score(model: Model, pairs: DataFrame) -> DataFrame:
 def lm_scores(docs: DataFrame, train_rows: Column, prior: Prior = Prior()) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for every document; the model
     learns from the rows where ``train_rows`` is true."""
-    spark = docs.sparkSession
-    tagged = docs.select("doc_id", F.coalesce(train_rows, F.lit(False)).alias("train"), tokens(F.col("text")).alias("_tok"))
-    pairs = bigrams(tagged)
-    model = train(spark, pairs.filter("train").select("b", "w", "n"), prior)
-    scored = score(model, pairs.select("doc_id", "b", "w", "n"))
-    return scored.select(
-        "doc_id",
-        F.col("n_tokens").cast("long"),
-        F.col("n_known").cast("long"),
-        F.lit(model.n_tokens).cast("long").alias("train_tokens"),
-        "base_score",
-        "score",
+    tagged = docs.select("doc_id", F.coalesce(train_rows, F.lit(False)).alias("train"), "text")
+    scored = document_scores(tagged, prior, seat, BASE_ADD)
+    return scored.groupBy("doc_id").agg(
+        *[F.sum(c).alias(c) for c in ("n_tokens", "n_known")], F.max("train_tokens").alias("train_tokens"),
+        *[F.sum(c).alias(c) for c in ("base_score", "score")],
     )

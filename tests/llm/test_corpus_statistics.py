@@ -295,3 +295,74 @@ def test_seating_is_done_in_bulk(monkeypatch):
     assert sum(drawn) == (c - 1).sum() and len(drawn) < 70
     monkeypatch.undo()
     assert got.tolist() == [plain_seat(int(x), float(y), s, 0.75) for x, y, s in zip(c, a, seed)]
+
+
+def test_string_hashes_equal_xxhash64(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from contactloom.llm.packed_bigrams import string_hashes
+
+    texts = ["", *("aé中\x00z" * 60)[:70], *(("xyzé" * 50)[:n] for n in range(140)), "w" * 100_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, s string").select("i", F.xxhash64("s").alias("h"))
+    want = [r.h for r in rows.orderBy("i").collect()]
+    assert string_hashes(pa.array([None, *texts]).slice(1)).view(np.int64).tolist() == want
+
+
+def test_packed_numbers_come_back():
+    from contactloom.llm.packed_bigrams import pack, unpack
+
+    given = [np.zeros(0, np.int64), np.array([0, 255]), np.array([70_000]), np.array([1.5, -2.0]), np.arange(2000), np.array([2**64 - 1], np.uint64)]
+    assert [x.tolist() for x in unpack(pack(*given))] == [x.tolist() for x in given]
+
+
+def mixed_rows():
+    rng = np.random.default_rng(5)
+    names = [f"Wört{i}" if i % 3 else f"w{i}" for i in range(60)]
+    rows = [(i % 70, " ".join(names[int(k)] for k in rng.zipf(1.4, rng.integers(0, 60)) % 60)) for i in range(90)]
+    return [*rows, (None, "w0 w3"), (None, None), (71, "only here"), (72, ""), (73, "w0 " * 500)]
+
+
+@pytest.mark.parametrize("sweeps, keep, learnt", [(4, 2, True), (1, 1, True), (2, 2, False)])
+def test_scores_in_place_equal_the_model_as_tables(spark, monkeypatch, sweeps, keep, learnt):
+    from pyspark.sql import functions as F
+
+    from contactloom.llm import packed_bigrams
+    from contactloom.llm.pitman_yor import bigrams, score, tokens, train
+
+    monkeypatch.setattr(packed_bigrams, "CHUNK_TOKENS", 300)  # several blocks a partition
+    monkeypatch.setattr(packed_bigrams, "PIECE_BYTES", 500)
+    docs = spark.createDataFrame(mixed_rows(), "doc_id long, text string").repartition(3)
+    prior, learn = Prior(sweeps=sweeps, keep=keep), ~held_out("doc_id", 10, 0) & F.lit(learnt)
+    assert len(packed_bigrams.hot_contexts(docs.select("doc_id", learn.alias("train"), "text"), 2)) > 1
+    pairs = bigrams(docs.select("doc_id", learn.alias("train"), tokens(F.col("text")).alias("_tok")))
+    model = train(spark, pairs.filter("train").select("b", "w", "n"), prior)
+    want = {r.doc_id: r for r in score(model, pairs.select("doc_id", "b", "w", "n")).collect()}
+    got = {r.doc_id: r for r in lm_scores(docs, learn, prior).collect()}
+    assert set(got) == set(want)
+    for key, r in got.items():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (want[key].n_tokens, want[key].n_known, model.n_tokens)
+        assert (r.score, r.base_score) == pytest.approx((want[key].score, want[key].base_score), rel=1e-9, abs=1e-9)
+
+
+def test_scoring_stores_no_tables_and_shuffles_few_bytes_a_token(spark, small):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from contactloom.llm.packed_bigrams import document_blocks
+    from contactloom.operators.shared import shared_folder
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", F.lit(True).alias("train"), "text")
+    before = {f for _, _, names in os.walk(shared_folder(spark)) for f in names}
+    assert lm_scores(docs, F_true()).agg({"n_tokens": "sum"}).first()[0] > 0
+    assert {f for _, _, names in os.walk(shared_folder(spark)) for f in names} == before
+    tokens = lm_scores(docs, F_true()).agg({"n_tokens": "sum"}).first()[0]
+    held = document_blocks(docs, 2, np.zeros(0, np.uint64)).agg(F.sum(F.length("payload")), F.count("payload")).first()
+    assert held[0] < 9 * tokens and held[1] <= 3 * docs.rdd.getNumPartitions()
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("a", "x y"), ("b", "x"), ("a", "z"), (None, "x")], "doc_id string, text string")
+    got = {r.doc_id: r.n_tokens for r in lm_scores(docs, F_true(), Prior(sweeps=1, keep=1)).collect()}
+    assert got == {"a": 5, "b": 2, None: 2}
