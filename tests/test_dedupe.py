@@ -7,6 +7,7 @@ from hypothesis import given, settings, strategies as st
 
 from contactloom.functions import similarity as sim
 from contactloom.operators import dedupe as dedupe_module
+from contactloom.operators import similarity_join as join_module
 from contactloom.operators.dedupe import dedupe_businesses
 from contactloom.operators.shared import lookup_join
 from contactloom.operators.similarity_join import similar_pairs
@@ -156,6 +157,53 @@ def test_similar_pairs_are_all_pairs(spark, cell_rows):
     assert got == expected and len(expected) > 50
 
 
+@pytest.mark.parametrize("cell_rows, kind", [(4_096, "bigint"), (3, "int"), (4_096, "string")])
+def test_equal_rows_pair_up_like_all_others(spark, monkeypatch, cell_rows, kind):
+    monkeypatch.setattr(join_module, "PAIRS_OUT", 7)
+    rng = random.Random(7)
+    seqs = [rng.choice([n, -n, 3, 70_000 * n]) if kind != "string" else f"{n:04}" for n in range(90)]
+    rows = [
+        row(seq, rng.choice(["Alpha Shop", "alpha shop", "alpha shp", "beta", None]),
+            address=rng.choice(["1 main street", "1 MAIN street", "2 main stret", "far away", ""]), query="qr"[n % 2])
+        for n, seq in enumerate(seqs)
+    ]
+    rows += [row(None, "alpha shop", address="1 main street"), row(seqs[0], "alpha shop", address="1 main street", query=None)]
+    if kind == "bigint":
+        rows += [row(seq, "alpha shop", address="1 main street") for seq in (2**63 - 1, -(2**63))]
+    schema = COLUMNS.replace("seq bigint", "seq string" if kind == "string" else "seq bigint")
+    df = spark.createDataFrame([tuple(r[c.split()[0]] for c in COLUMNS.split(", ")) for r in rows], schema)
+    got = similar_pairs(df.withColumn("seq", df.seq.cast(kind)), cell_rows=cell_rows)
+    expected = sorted(
+        (a["query"], a["seq"], b["seq"])
+        for a in rows for b in rows
+        if a["query"] and a["query"] == b["query"] and None not in (a["seq"], b["seq"]) and b["seq"] < a["seq"]
+        and matches(a, b, ("similarity",))
+    )
+    assert sorted(tuple(r) for r in got.collect()) == expected and len(expected) > 200
+    assert [f.dataType.simpleString() for f in got.schema] == ["string", kind, kind]
+
+
+def test_equal_rows_travel_as_one(spark, monkeypatch):
+    stored = []
+
+    def counted(df):
+        stored.append(df.count())
+        return cut(df)
+
+    cut = join_module.cut
+    monkeypatch.setattr(join_module, "cut", counted)
+    rows = [row(n, ("acme tools", "acme tool")[n % 2], address="1 main street") for n in range(800)]
+    assert similar_pairs(table(spark, rows)).count() == 800 * 799 // 2
+    assert max(stored) < 40
+
+
+def test_packed_numbers_come_back():
+    lists = [[5], [1, 1, 2], list(range(-3, 5000, 3)), [-(2**63), 0, 2**63 - 1], [0, 300]]
+    packed = join_module.pack_gaps.func(pa.array([[0], *lists]).slice(1)).to_pylist()
+    assert packed[0] is None
+    assert [join_module.members(x[0], p).tolist() for x, p in zip(lists, packed)] == lists
+
+
 def test_thresholds_are_strict_and_order_matters(spark):
     assert sim.ratio("tide", "diet") == 0.25 and sim.ratio("diet", "tide") == 0.5
     assert sim.ratio("", "x") == 0.0
