@@ -197,6 +197,23 @@ def test_equal_rows_travel_as_one(spark, monkeypatch):
     assert max(stored) < 40
 
 
+@pytest.mark.parametrize("copies", [0, 40])
+def test_different_rows_travel_alone(spark, monkeypatch, copies):
+    stored = []
+
+    def noted(df):
+        stored.append(df.columns)
+        return cut(df)
+
+    cut = join_module.cut
+    monkeypatch.setattr(join_module, "cut", noted)
+    rows = [row(n, "acme tools", address=f"1{'ab'[n % 2] * (n // 2)} main street") for n in range(60)]
+    rows += [row(100 + n, "acme tools", address="1 main street") for n in range(copies)]
+    got = sorted(tuple(r) for r in similar_pairs(table(spark, rows), cell_rows=20).collect())
+    assert got == sorted(("q", a["seq"], b["seq"]) for a in rows for b in rows if b["seq"] < a["seq"] and matches(a, b, ("similarity",)))
+    assert any("gaps" in c for c in stored) == (copies > 0) and len(got) > 100
+
+
 def test_packed_numbers_come_back():
     lists = [[5], [1, 1, 2], list(range(-3, 5000, 3)), [-(2**63), 0, 2**63 - 1], [0, 300]]
     packed = join_module.pack_gaps.func(pa.array([[0], *lists]).slice(1)).to_pylist()
